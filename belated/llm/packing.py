@@ -21,7 +21,9 @@ id are packed each.  Other columns are not read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -30,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, kernels
 
-SIZE, END_ID, CACHE_WORDS, BUCKETS = 4096, 1, 250_000, 64
-_ODD_SPACE = tuple("\x1c\x1d\x1e\x1f")
+SIZE, END_ID, CACHE_WORDS, BUCKETS = 4096, 1, 700_000, 64
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|]*)")
 
 
 def default_tokenizer() -> str:
@@ -42,30 +44,143 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Ids of white-space separated chunks, as bytes of unsigned 32-bit numbers.
+class MergeTable:
+    """The merges of a byte-level BPE vocabulary with word ends, applied to many
+    words at once: each round merges the leftmost pair of least rank of every
+    word that still has one."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        names = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}
+        self.inner = np.array([vocab[names[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[names[b] + end] for b in range(256)], np.int64)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.none = len(pairs)
+        self.result = np.array([vocab[x + y] for x, y in pairs] + [0], np.int64)
+        key = np.array([(vocab[x] << 20) | vocab[y] for x, y in pairs], np.int64)
+        self.slots, self.keys = 1 << 22, np.full(1 << 22, -1, np.int64)
+        self.ranks = np.full(1 << 22, self.none, np.int32)
+        todo = np.arange(len(key))
+        step = 0
+        while len(todo):  # open addressing: probe number ``step``
+            at = self._slot(key[todo], step)
+            free = self.keys[at] < 0
+            self.keys[at[free][::-1]] = key[todo[free]][::-1]
+            won = self.keys[at] == key[todo]
+            self.ranks[at[won]] = todo[won]
+            todo = todo[~won]
+            step += 1
+        self.probes = step
+
+    def _slot(self, key: np.ndarray, step: int) -> np.ndarray:
+        x = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x >> np.uint64(42)).view(np.int64) + step) & (self.slots - 1)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 20) | b
+        at = self._slot(key, 0)
+        out = np.where(self.keys[at] == key, self.ranks[at], np.int32(self.none))
+        for step in range(1, self.probes):  # a few of the merges were displaced
+            at = (at + 1) & (self.slots - 1)
+            out = np.where(self.keys[at] == key, self.ranks[at], out)
+        return out
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.array([len(w) for w in words])
+        for size in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == size)
+            raw = np.frombuffer(b"".join(words[k] for k in rows), np.uint8).reshape(-1, size)
+            s = self.inner[raw]
+            s[:, -1] = self.last[raw[:, -1]]
+            r = self.rank(s[:, :-1], s[:, 1:])
+            while s.shape[1] > 1:
+                at = r.argmin(axis=1)
+                every = np.arange(len(rows))
+                best = r[every, at]
+                done = best == self.none
+                if done.any():
+                    fin = s[done].astype("<u4")
+                    for k, ids in zip(rows[done].tolist(), fin, strict=True):
+                        out[k] = ids.tobytes()
+                    rows, s, r, at, best = rows[~done], s[~done], r[~done], at[~done], best[~done]
+                    every = np.arange(len(rows))
+                    if not len(rows):
+                        break
+                cols = np.arange(s.shape[1] - 1)
+                s = np.where(cols[None, :] < at[:, None], s[:, :-1], s[:, 1:])
+                s[every, at] = self.result[best]
+                if s.shape[1] == 1:
+                    break
+                cols = cols[:-1]
+                r = np.where(cols[None, :] < at[:, None], r[:, :-1], r[:, 1:])
+                left, right = at > 0, at < s.shape[1] - 1
+                k = np.flatnonzero(left)
+                r[k, at[k] - 1] = self.rank(s[k, at[k] - 1], s[k, at[k]])
+                k = np.flatnonzero(right)
+                r[k, at[k]] = self.rank(s[k, at[k]], s[k, at[k] + 1])
+            for k, ids in zip(rows.tolist(), s.astype("<u4"), strict=True):
+                out[k] = ids.tobytes()
+        return out
+
+
+class WordIds:
+    """Ids of words (runs without ASCII white space) by their 64-bit hash.
     The tokenizer never joins characters across white space, so the ids of a text
-    are those of its chunks in a row.  Holds ``CACHE_WORDS`` chunks at most."""
+    are those of its words in a row.  Words of Latin letters, with or without
+    punctuation behind them, go through ``MergeTable`` together; all others
+    through the tokenizer.  Holds ``CACHE_WORDS`` words at most."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in _ODD_SPACE):  # str.split and the tokenizer differ on these
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.split()
-        new = [w for w in set(chunks) if w not in self]
+        self.known: dict[int, bytes] = {}
+        self.tokenizer, self.merges = Tokenizer.from_file(path), MergeTable(path)
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _direct(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, keys: list[int], new: list[str]) -> None:
+        plain, stems, tails = [], [], []
+        for key, w in zip(keys, new, strict=True):
+            if m := _PLAIN.fullmatch(w):
+                plain.append(key)
+                stems.append(m[1].lower().encode())
+                tails.append(m[2])
+            else:
+                self.known[key] = self._direct(w)
+        for tail in set(tails) - self.marks.keys():
+            self.marks[tail] = self._direct(tail)
+        for key, ids, tail in zip(plain, self.merges.encode(stems), tails, strict=True):
+            self.known[key] = ids + self.marks[tail] if tail else ids
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block of texts, and where each text's begin."""
+        starts, ends, per = kernels.words(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        h, first, back = np.unique(kernels.span_hash(kernels.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+        keys = h.tolist()
+        new = [k for k, key in enumerate(keys) if key not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = list(range(len(keys)))
         if new:
-            if len(self) > CACHE_WORDS:
-                self.clear()
-                new = list(set(chunks))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, chunks))
+            raw, at = data.tobytes(), first[new]
+            self._learn([keys[k] for k in new], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        found = [self.known[key] for key in keys]
+        size = np.array([len(x) for x in found]) // 4
+        pool, begin = np.frombuffer(b"".join(found), "<u4"), np.concatenate(([0], np.cumsum(size)))
+        n = size[back]
+        total = np.concatenate(([0], np.cumsum(n)))
+        out = pool[np.repeat(begin[back] - total[:-1], n) + np.arange(total[-1])]
+        return out, total[np.concatenate(([0], np.cumsum(per)))]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,12 +191,16 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
         ids = WordIds(tokenizer)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = ids.encode(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(data), 4 * size)):
-                    part = data[at : at + 4 * size]
-                    for col, v in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        col.append(v)
+            docs_, (data, offsets) = batch.column(0).to_pylist(), kernels.utf8(batch.column(1))
+            for i, j, part, at in kernels.blocks(data, offsets, 2 * kernels.BLOCK_BYTES):
+                found, begin = ids.encode(part, at)
+                raw, begin = found.tobytes(), (4 * begin).tolist()
+                for k in range(i, j):
+                    whole = raw[begin[k - i] : begin[k - i + 1]] + end
+                    for n, a in enumerate(range(0, len(whole), 4 * size)):
+                        piece = whole[a : a + 4 * size]
+                        for col, v in zip(rows, (docs_[k], n, a // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
+                            col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
