@@ -134,3 +134,35 @@ def multiset(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     start = np.flatnonzero(new)
     number = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
     return h, row, number, start
+
+
+def ragged(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenation of pool[begin : begin + size], and where each part begins."""
+    total = np.concatenate(([0], np.cumsum(size)))
+    return pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])], total
+
+
+class SpanCache:
+    """Codes (packed unsigned 32-bit numbers) of byte spans by their hash; each
+    distinct span of a block is looked up once.  ``learn`` codes new spans; at
+    most ``most`` are held."""
+
+    def __init__(self, learn, most: int):
+        self.learn, self.most, self.known = learn, most, {}
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All codes, and where each span's begin (and the last one's end)."""
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        h, first, back = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+        keys, known = h.tolist(), self.known
+        new = [k for k, key in enumerate(keys) if key not in known]
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = list(range(len(keys)))
+        if new:
+            raw, at = data.tobytes(), first[new]
+            known.update(zip([keys[k] for k in new], self.learn([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]), strict=True))
+        found = [known[key] for key in keys]
+        size = np.array([len(x) for x in found]) // 4
+        return ragged(np.frombuffer(b"".join(found), "<u4"), (np.cumsum(size) - size)[back], size[back])

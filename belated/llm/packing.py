@@ -139,48 +139,33 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.known: dict[int, bytes] = {}
+        self.cache = kernels.SpanCache(self._learn, CACHE_WORDS)
         self.tokenizer, self.merges = Tokenizer.from_file(path), MergeTable(path)
         self.marks: dict[str, bytes] = {"": b""}
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, keys: list[int], new: list[str]) -> None:
-        plain, stems, tails = [], [], []
-        for key, w in zip(keys, new, strict=True):
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        out, plain, stems, tails = [b""] * len(new), [], [], []
+        for k, w in enumerate(map(bytes.decode, new)):
             if m := _PLAIN.fullmatch(w):
-                plain.append(key)
+                plain.append(k)
                 stems.append(m[1].lower().encode())
                 tails.append(m[2])
             else:
-                self.known[key] = self._direct(w)
+                out[k] = self._direct(w)
         for tail in set(tails) - self.marks.keys():
             self.marks[tail] = self._direct(tail)
-        for key, ids, tail in zip(plain, self.merges.encode(stems), tails, strict=True):
-            self.known[key] = ids + self.marks[tail] if tail else ids
+        for k, ids, tail in zip(plain, self.merges.encode(stems), tails, strict=True):
+            out[k] = ids + self.marks[tail] if tail else ids
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, and where each text's begin."""
         starts, ends, per = kernels.words(data, offsets)
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        h, first, back = np.unique(kernels.span_hash(kernels.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-        keys = h.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(range(len(keys)))
-        if new:
-            raw, at = data.tobytes(), first[new]
-            self._learn([keys[k] for k in new], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        found = [self.known[key] for key in keys]
-        size = np.array([len(x) for x in found]) // 4
-        pool, begin = np.frombuffer(b"".join(found), "<u4"), np.concatenate(([0], np.cumsum(size)))
-        n = size[back]
-        total = np.concatenate(([0], np.cumsum(n)))
-        out = pool[np.repeat(begin[back] - total[:-1], n) + np.arange(total[-1])]
-        return out, total[np.concatenate(([0], np.cumsum(per)))]
+        ids, begin = self.cache.encode(data, starts, ends)
+        return ids, begin[np.concatenate(([0], np.cumsum(per)))]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

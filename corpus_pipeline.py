@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from belated.llm import common, language, minhash, packing
+from belated.llm import common, language, minhash, packing, suffix, toxicity
 
 STAGES = [
     ("language", language.keep_identified),
+    ("toxicity", toxicity.keep_civil),
     ("near_dedup", minhash.keep_one_of_each),
+    ("suffix_dedup", suffix.remove_repeats),
     ("packing", packing.pack_stage),
 ]
 
