@@ -14,10 +14,12 @@ components of the links.
 * Copies (equal multisets) form classes first, by a commutative 128-bit hash;
   only one document of a class goes on, so a class of any size costs one row.
 * Bands: within a bucket all members are compared with one member (a star),
-  first that of least id, then that with the most verified links.  Then the
-  members that are still in different components are compared pairwise, so no
-  link that any bucket holds is lost, and a large group of near copies costs
-  rows in proportion to its size.
+  first that of least id, then that with the most verified links.  Then all
+  members that are still in different components are paired, so no link that a
+  bucket holds is lost to the stars, and a group of near copies that hang
+  together costs rows in proportion to its size.
+* Before sets are fetched, pairs are tested by size and by four bits of each
+  slot; a true link fails this with probability 3e-5.
 * Verification: |A ∩ B| * 9 >= 4 * (|A| + |B|) on multisets, in the JVM.
 
 With 28 bands of 5 slots a link of similarity 0.8 is missed with probability
@@ -95,6 +97,35 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+NIBBLES = 0x1111111111111111
+
+
+def nibbles(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each slot, 16 slots a long."""
+    bits = kernels.mix(np.ascontiguousarray(sig).view(U64)) >> U64(60)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 16))).reshape(len(sig), -1, 16)
+    out = np.zeros(bits.shape[:2], U64)
+    for k in range(16):
+        out |= bits[:, :, k] << U64(4 * k)
+    return out
+
+
+def unequal(x: str, y: str, slots: int) -> str:
+    """SQL: in how many slots the four bits of two documents differ."""
+    terms = []
+    for k in range(-(-slots // 16)):
+        z = f"({x}[{k}] ^ {y}[{k}])"
+        terms.append(f"bit_count(({z} | shiftright({z}, 1) | shiftright({z}, 2) | shiftright({z}, 3)) & {NIBBLES}L)")
+    return " + ".join(terms)
+
+
+def most_unequal(slots: int, num: int, den: int) -> int:
+    """Four standard deviations above the mean number of unequal four bits at a
+    similarity of num/den: a link is refused with probability 3e-5."""
+    p = (1 - num / den) * 15 / 16
+    return int(slots * p + 4 * (slots * p * (1 - p)) ** 0.5)
+
+
 def _signatures(bands: int, rows: int, size: int):
     def run(batch: pa.RecordBatch):
         data, offsets = kernels.utf8(batch.column(1), lower=True)
@@ -110,10 +141,13 @@ def _signatures(bands: int, rows: int, size: int):
                 whole[1, row[edges]] = np.add.reduceat(kernels.mix(element ^ U64(0x2545F4914F6CDD1D)), edges)
             weight = np.diff(np.append(start, len(h)))
             sig = bag_minhash(h[start], weight, row[start], j - i, bands * rows)
-            keys = band_hashes(sig, bands, rows)
-            keys = keys[n > 0]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((n > 0) * bands))).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), lists], ["id", "n", "c1", "c2", "bands"])
+            few = nibbles(sig)[n > 0]
+            keys = band_hashes(sig, bands, rows)[n > 0]
+
+            def lists(values):
+                return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((n > 0) * values.shape[1]))).astype(np.int32)), pa.array(values.reshape(-1).view(np.int64)))
+
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), lists(keys), lists(few)], ["id", "n", "c1", "c2", "bands", "sig"])
 
     return run
 
@@ -150,34 +184,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with an equal multiset) and group_id (least id of the near-duplicate group)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = source.filter(F.col("id").isNotNull())
-    signed = common.stage(common.arrow_map(keyed, _signatures(bands, rows, shingle), "id long, n long, c1 long, c2 long, bands array<long>"), "signatures")
+    signed = common.stage(common.arrow_map(keyed, _signatures(bands, rows, shingle), "id long, n long, c1 long, c2 long, bands array<long>, sig array<long>"), "signatures")
     classes = signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"))
     exploded = signed.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("h"))
     exploded = common.stage(exploded, "bands")
     crowded = exploded.groupBy("h").agg(F.min("id").alias("c"), F.count("*").alias("k")).filter("k > 1").drop("k")
     member = common.stage(exploded.join(crowded, "h"), "members")  # h, id, n, c
     candidates = member.select("id").distinct()
+    signs = common.stage(signed.join(candidates, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "sig"), "signs")
+    limit = most_unequal(bands * rows, num, den)
+    near = f"x.n * {num} <= y.n * {den} and y.n * {num} <= x.n * {den} and {unequal('x.sig', 'y.sig', bands * rows)} <= {limit}"
     sets = common.stage(common.arrow_map(keyed.join(candidates, "id", "left_semi").dropDuplicates(["id"]), _elements(shingle), "id long, e array<int>"), "sets")
 
     def pair(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes and signatures allow a link."""
+        x = signs.select(F.col("id").alias("p"), F.struct("n", "sig").alias("x"))
+        y = signs.select(F.col("id").alias("q"), F.struct("n", "sig").alias("y"))
+        both = pairs.select(F.col("a").alias("p"), F.col("b").alias("q")).join(x, "p").join(y, "q")
+        return both.filter(F.expr(near)).select(F.col("p").alias("a"), F.col("q").alias("b"))
+
     first = member.filter("id <> c").select(*pair(F.col("id"), F.col("c"))).distinct()
-    links = common.stage(_verified(first, sets, num, den), "links1")
+    links = common.stage(_verified(plausible(first), sets, num, den), "links1")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
     ranked = member.join(degree, "id", "left").select("h", "id", "n", F.coalesce("d", F.lit(0)).alias("d"))
     hub = ranked.groupBy("h").agg(F.max("d").alias("d"))
     hub = ranked.join(hub, ["h", "d"]).groupBy("h").agg(F.min("id").alias("c"))
     second = member.drop("c").join(hub, "h").filter("id <> c").select(*pair(F.col("id"), F.col("c"))).distinct()
     second = second.join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(common.stage(_verified(second, sets, num, den), "links2"))
+    links = links.unionByName(common.stage(_verified(plausible(second), sets, num, den), "links2"))
     component = connected_components(links)  # id, component
     # what stars have left open: members of one bucket in different components
     placed = common.stage(member.join(component, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("g")), "placed")
     split = placed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("h")
     open_ = placed.join(split, "h", "left_semi")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.n") * num <= F.col("y.n") * den) & (F.col("y.n") * num <= F.col("x.n") * den))
+    detail = open_.join(signs.select("id", "bands", "sig"), "id")
+    x, y = detail.alias("x"), detail.alias("y")
+    # a pair of several common buckets is made in that of its first common band
+    once = "x.h = element_at(filter(zip_with(x.bands, y.bands, (u, v) -> if(u = v, u, null)), w -> w is not null), 1)"
+    rest = x.join(y, F.expr(f"x.h = y.h and x.id < y.id and x.g <> y.g and {near} and {once}"))
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     rest = rest.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
     late = common.stage(_verified(rest, sets, num, den), "links3")
