@@ -93,7 +93,7 @@ def _anchor_rows(min_len: int, k: int):
                 for col, v in zip(cols, (np.full(len(h), doc, np.int64), h.view(np.int64), c[:, 0], c[:, 1], first + (lo - a), n, place - first), strict=True):
                     col.append(v.astype(np.int64))
                 held += len(h)
-                if held > 200_000:
+                if held > 50_000:
                     yield flush()
                     held = 0
         if cols[0]:
@@ -193,12 +193,20 @@ def _group_spans(min_len: int):
             return []
         part = np.concatenate([data[begin[k] : ends[k]] for k in busy])
         stop = np.cumsum(size[busy])
-        out = []
+        reach = np.zeros(len(part), np.int64)  # the longest repeat that starts at a byte
         for length, places in maximal_repeats(part, stop, min_len):
-            k = np.searchsorted(stop, places, "right")
-            rel = places - (stop - size[busy])[k]
-            out += [(*rows[busy[i]][:3], a, a + length) for i, a in zip(k.tolist(), rel.tolist(), strict=True)]
-        return list(set(out))
+            reach[places] = np.maximum(reach[places], length)
+        at = np.flatnonzero(reach)
+        of = np.searchsorted(stop, at, "right")
+        to = np.maximum.accumulate(at + reach[at])
+        new = np.flatnonzero(np.concatenate(([True], (at[1:] > to[:-1]) | (of[1:] != of[:-1]))))
+        a, b = at[new], np.append(to[new[1:] - 1], to[-1])
+        k = np.searchsorted(stop, a, "right")
+        shift = (stop - size[busy])[k]
+        out = []
+        for i, x, y, s in zip(k.tolist(), a.tolist(), b.tolist(), shift.tolist(), strict=True):
+            out.append((*rows[busy[i]][:3], x - s, y - s))
+        return out
 
     def run(batches):
         held: list[tuple] = []  # whole anchors, and at the end the last one's rows so far
