@@ -29,7 +29,7 @@ from . import common, kernels
 
 PER_CLASS, MAX_CHARS, WINDOW, STRIDE, THRESHOLD = 1200, 6000, 32, 24, 0.7
 WORD_SLOTS, GRAM_SLOTS, DIMS, HIDDEN, ROUNDS = 1 << 16, 1 << 16, 3, 6, 12
-BLOCK = 1 << 19
+BLOCK, LEAST_STEPS = 1 << 19, 160
 
 
 def read(data: np.ndarray, offsets: np.ndarray):
@@ -182,7 +182,9 @@ class Network:
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         step, peak = 0, None
         order_doc = np.searchsorted(doc, np.arange(len(y) + 1))
-        for epoch in range(ROUNDS):
+        per_round = -(-(len(y) + int((y == 0).sum())) // 256)
+        rounds = max(ROUNDS, -(-LEAST_STEPS // per_round))
+        for epoch in range(rounds):
             vec = self.vectors(word, gram, first, count)
             if peak is None:
                 best = np.concatenate((vec[:, DIMS] + vec[:, -1], [-9]))[index].max(axis=1)
@@ -205,7 +207,7 @@ class Network:
                 d_logit = ((_sigmoid(logit) - target) * wt / len(b)).astype(np.float32)
                 g, d_vec = self.backward(local, v, saved, d_logit)
                 step += 1
-                rate = 0.02 * min(1, step / 20) * (0.3 if epoch > 0.7 * ROUNDS else 1)
+                rate = 0.02 * min(1, step / 20) * (0.3 if epoch > 0.7 * rounds else 1)
                 self._adam(g, moments, step, rate)
                 np.add.at(self.p["word"], word[ids], -0.5 * rate * 20 * d_vec[:-1, :DIMS])
                 c, f = count[ids], first[ids]
