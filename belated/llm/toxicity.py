@@ -29,7 +29,7 @@ from . import common, kernels
 
 PER_CLASS, MAX_CHARS, WINDOW, STRIDE, THRESHOLD = 1200, 6000, 32, 24, 0.7
 WORD_SLOTS, GRAM_SLOTS, DIMS, HIDDEN, ROUNDS = 1 << 16, 1 << 16, 3, 6, 12
-BLOCK, LEAST_STEPS = 1 << 19, 160
+BLOCK, LEAST_STEPS = 1 << 19, 400
 
 
 def read(data: np.ndarray, offsets: np.ndarray):
