@@ -93,30 +93,41 @@ def _empty(cells: Column) -> Column:
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id): the largest smaller id; for the least id the largest.
+    """(doc_id, n, next_id): its most code points; the largest smaller id, for the least id the largest.
     Ids are range partitioned; only the bounds of partitions meet in one task."""
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+    ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
     parts = common.stage(ids.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").withColumn("p", F.spark_partition_id()), "ranges")
     bounds = parts.groupBy("p").agg(F.max("doc_id").alias("top"))
     w = Window.orderBy("p")
     last = F.max("top").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     before = bounds.select("p", F.coalesce(F.lag("top").over(w), last).alias("before"))
     inside = parts.withColumn("lower", F.lag("doc_id").over(Window.partitionBy("p").orderBy("doc_id")))
-    return inside.join(F.broadcast(before), "p").select("doc_id", F.coalesce("lower", "before").alias("next_id"))
+    return inside.join(F.broadcast(before), "p").select("doc_id", "n", F.coalesce("lower", "before").alias("next_id"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    follow = common.stage(next_ids(source), "next")
-    rows = source.withColumn("row", F.monotonically_increasing_id()).join(follow, "doc_id", "left")
-    texts = source.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("next_id")).agg(F.min("text").alias("next_text"))
-    both = rows.join(texts, "next_id", "left").withColumn("next_text", F.coalesce("next_text", F.lit("")))
+    keyed = source.filter(F.col("doc_id").isNotNull())
+    uses = common.stage(next_ids(source), "next").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("user"), F.col("n").alias("user_n"))
+    # A document goes to the one that draws on it as its digests and as much of
+    # its text as the edit can take.  Whole texts are shuffled once, by their id:
+    # both joins read that one exchange.
+    lent = keyed.join(uses, "doc_id").select(F.col("user").alias("doc_id"), F.struct(F.col("text").substr(F.lit(1), F.floor(F.col("user_n") / 2).cast("int")).alias("head"), digests(F.col("text")).alias("x")).alias("lent"))
+    lent = lent.groupBy("doc_id").agg(F.min("lent").alias("lent"))
+    nothing = F.struct(F.lit("").alias("head"), F.array().cast("array<bigint>").alias("x"))
+    return _compared(keyed.join(lent, "doc_id"), id_col).unionByName(_compared(source.filter(F.col("doc_id").isNull()).withColumn("lent", nothing), id_col))
+
+
+def _compared(rows: DataFrame, id_col: str) -> DataFrame:
+    """rows: doc_id, text, lent (head and digests of the next document)."""
     n = F.char_length("text")
-    edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(char_length(text) / 2) as int))"))
-    base = both.withColumn("edited", edited).select("next_id", "row", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("o"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("x"))
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("lent.head").substr(F.lit(1), half))
+    base = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("edited", edited)
+    base = base.select("row", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("o"), digests(F.col("edited")).alias("e"), F.col("lent.x").alias("x"))
     base = base.withColumns({f"n{k}": F.size(k).cast("long") for k in "oex"})
-    keys = ["next_id", "row"]
-    head = ["doc_id", "n_chars", "edited_sha256", "no", "ne", "nx"]
+    keys = ["doc_id", "row"]
+    head = ["n_chars", "edited_sha256", "no", "ne", "nx"]
     # one row a digest and use: kind 0 the fingerprint, 1 compared with the edit, 2 with the next
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("side"), F.col(c).alias("ds"), b.alias("bits")) for k, s, c, b in (
         (0, "o", "o", depth(F.col("no"))), (0, "e", "e", depth(F.col("ne"))),
