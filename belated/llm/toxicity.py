@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from . import common, kernels
 
-PER_CLASS, MAX_CHARS, WINDOW, STRIDE, THRESHOLD = 1200, 6000, 32, 24, 0.7
+PER_CLASS, MAX_CHARS, WINDOW, STRIDE, THRESHOLD = 800, 4000, 32, 24, 0.7
 WORD_SLOTS, GRAM_SLOTS, DIMS, HIDDEN, ROUNDS = 1 << 16, 1 << 16, 3, 6, 12
-BLOCK, LEAST_STEPS = 1 << 19, 400
+BLOCK, LEAST_STEPS = 1 << 19, 800
 
 
 def read(data: np.ndarray, offsets: np.ndarray):
@@ -185,10 +185,13 @@ class Network:
         per_round = -(-(len(y) + int((y == 0).sum())) // 256)
         rounds = max(ROUNDS, -(-LEAST_STEPS // per_round))
         for epoch in range(rounds):
-            vec = self.vectors(word, gram, first, count)
-            if peak is None:
+            if epoch % max(1, rounds // 15):
+                pass  # with many short rounds the windows are chosen anew 15 times
+            elif peak is None:
+                vec = self.vectors(word, gram, first, count)
                 best = np.concatenate((vec[:, DIMS] + vec[:, -1], [-9]))[index].max(axis=1)
             else:
+                vec = self.vectors(word, gram, first, count)
                 best = np.concatenate([self.forward(index[k : k + 8192], vec) for k in range(0, len(index), 8192)])
             rank = np.lexsort((-best, doc))
             peak = rank[order_doc[:-1]]
