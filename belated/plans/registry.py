@@ -271,3 +271,6 @@ def value_cascade(spark, sf):
     feats = {c: [x for x in df.columns if x.startswith(("cum", "cite", "zero"))] for c, df in stages.items()}
     out = policy.cascade(stages, feats, psb, trees=3)
     return policy.flags(out, ["q35", "q75", "q115"])
+
+
+from . import models  # noqa: E402, F401  registers its queries here
