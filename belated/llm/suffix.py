@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import common, kernels
 
 U64 = np.uint64
-MIN_LEN, ANCHOR, HOT, PIECE = 400, 100, 2048, 1 << 21
+MIN_LEN, ANCHOR, HOT, PIECE = 400, 100, 2048, 1 << 18
 
 
 def anchors(data: np.ndarray, min_len: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,27 +107,29 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     ends, which no match crosses.  Prefix doubling; the ranks of all rounds stay
     until the LCPs are read off them."""
     n = len(data)
-    limit = np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - np.arange(n)
+    limit = (np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - np.arange(n)).astype(np.int32)
     rank = data.astype(np.int32) + 1
     ranks, width = [rank], 1
     # a suffix that ends within the width gets a rank of its own by its place
     while True:
-        nxt = np.zeros(n, np.int64)
-        inside = limit > width
-        nxt[inside] = rank[np.flatnonzero(inside) + width]
-        key = rank * np.int64(n + 257) + nxt
+        key = rank * np.int64(n + 257)
+        inside = np.flatnonzero(limit > width)
+        key[inside] += rank[inside + width]
         order = np.argsort(key, kind="stable")
         new = np.ones(n, bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
+        key = key[order]
+        new[1:] = key[1:] != key[:-1]
+        del key
         rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(new)
         ranks.append(rank)
         width *= 2
         if new.all() or not (limit > width).any():
             break
-    lcp = np.zeros(n, np.int64)
+    order = order.astype(np.int32)
+    lcp = np.zeros(n, np.int32)
     i, j = order[1:].copy(), order[:-1].copy()
-    size = np.zeros(n - 1, np.int64)
+    size = np.zeros(n - 1, np.int32)
     live = np.ones(n - 1, bool)
     for level in range(len(ranks) - 1, -1, -1):
         step = 1 << level
@@ -219,7 +221,7 @@ def _group_spans(min_len: int):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and size > PIECE // 8:
+                if row[0] != last and size > PIECE // 2:
                     yield emit(held)
                     held, size = [], 0
                 held.append(row)
