@@ -18,8 +18,9 @@ components of the links.
   members that are still in different components are paired, so no link that a
   bucket holds is lost to the stars, and a group of near copies that hang
   together costs rows in proportion to its size.
-* Before sets are fetched, pairs are tested by size and by four bits of each
-  slot; a true link fails this with probability 3e-5.
+* Before sets are fetched, pairs are tested by size, by the parities of ``FOLD``
+  hashed counts (never more of them differ than elements do, so no link fails
+  this) and by four bits of each slot (a link fails this with probability 3e-5).
 * Verification: |A ∩ B| * 9 >= 4 * (|A| + |B|) on multisets, in the JVM.
 
 With 28 bands of 5 slots a link of similarity 0.8 is missed with probability
@@ -42,7 +43,7 @@ from . import common, kernels
 from .components import connected_components
 
 U64 = np.uint64
-BANDS, ROWS = 28, 5
+BANDS, ROWS, FOLD = 28, 5, 2048
 _ONE = np.uint64(1)
 
 
@@ -119,6 +120,20 @@ def unequal(x: str, y: str, slots: int) -> str:
     return " + ".join(terms)
 
 
+def parities(element: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """``FOLD`` bits a row: whether an odd number of its elements hash there."""
+    at = row * FOLD + (kernels.mix(element) & U64(FOLD - 1)).astype(np.int64)
+    place, count = np.unique(at, return_counts=True)
+    bits = np.zeros(n_rows * FOLD, np.uint8)
+    bits[place] = count & 1
+    return np.packbits(bits, bitorder="little").view(U64).reshape(n_rows, -1)
+
+
+def least_different(x: str, y: str) -> str:
+    """SQL: a lower bound of the size of the symmetric difference."""
+    return " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(FOLD // 64))
+
+
 def most_unequal(slots: int, num: int, den: int) -> int:
     """Four standard deviations above the mean number of unequal four bits at a
     similarity of num/den: a link is refused with probability 3e-5."""
@@ -142,12 +157,13 @@ def _signatures(bands: int, rows: int, size: int):
             weight = np.diff(np.append(start, len(h)))
             sig = bag_minhash(h[start], weight, row[start], j - i, bands * rows)
             few = nibbles(sig)[n > 0]
+            odd = parities(element, row, j - i)[n > 0]
             keys = band_hashes(sig, bands, rows)[n > 0]
 
             def lists(values):
                 return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((n > 0) * values.shape[1]))).astype(np.int32)), pa.array(values.reshape(-1).view(np.int64)))
 
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), lists(keys), lists(few)], ["id", "n", "c1", "c2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), lists(keys), lists(few), lists(odd)], ["id", "n", "c1", "c2", "bands", "sig", "odd"])
 
     return run
 
@@ -184,16 +200,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with an equal multiset) and group_id (least id of the near-duplicate group)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = source.filter(F.col("id").isNotNull())
-    signed = common.stage(common.arrow_map(keyed, _signatures(bands, rows, shingle), "id long, n long, c1 long, c2 long, bands array<long>, sig array<long>"), "signatures")
+    signed = common.stage(common.arrow_map(keyed, _signatures(bands, rows, shingle), "id long, n long, c1 long, c2 long, bands array<long>, sig array<long>, odd array<long>"), "signatures")
     classes = signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"))
     exploded = signed.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("h"))
     exploded = common.stage(exploded, "bands")
     crowded = exploded.groupBy("h").agg(F.min("id").alias("c"), F.count("*").alias("k")).filter("k > 1").drop("k")
     member = common.stage(exploded.join(crowded, "h"), "members")  # h, id, n, c
     candidates = member.select("id").distinct()
-    signs = common.stage(signed.join(candidates, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "sig"), "signs")
+    signs = common.stage(signed.join(candidates, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "sig", "odd"), "signs")
     limit = most_unequal(bands * rows, num, den)
     near = f"x.n * {num} <= y.n * {den} and y.n * {num} <= x.n * {den} and {unequal('x.sig', 'y.sig', bands * rows)} <= {limit}"
+    near += f" and ({least_different('x.odd', 'y.odd')}) * {num + den} <= (x.n + y.n) * {den - num}"
     sets = common.stage(common.arrow_map(keyed.join(candidates, "id", "left_semi").dropDuplicates(["id"]), _elements(shingle), "id long, e array<int>"), "sets")
 
     def pair(x, y):
@@ -201,8 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and signatures allow a link."""
-        x = signs.select(F.col("id").alias("p"), F.struct("n", "sig").alias("x"))
-        y = signs.select(F.col("id").alias("q"), F.struct("n", "sig").alias("y"))
+        x = signs.select(F.col("id").alias("p"), F.struct("n", "sig", "odd").alias("x"))
+        y = signs.select(F.col("id").alias("q"), F.struct("n", "sig", "odd").alias("y"))
         both = pairs.select(F.col("a").alias("p"), F.col("b").alias("q")).join(x, "p").join(y, "q")
         return both.filter(F.expr(near)).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
@@ -220,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = common.stage(member.join(component, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("g")), "placed")
     split = placed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("h")
     open_ = placed.join(split, "h", "left_semi")
-    detail = open_.join(signs.select("id", "bands", "sig"), "id")
+    detail = open_.join(signs.select("id", "bands", "sig", "odd"), "id")
     x, y = detail.alias("x"), detail.alias("y")
     # a pair of several common buckets is made in that of its first common band
     once = "x.h = element_at(filter(zip_with(x.bands, y.bands, (u, v) -> if(u = v, u, null)), w -> w is not null), 1)"
