@@ -41,9 +41,23 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def settle(df: DataFrame, tag: str, since: int) -> DataFrame:
+    """``stage`` of a result, after which the folders made since ``since``
+    (``len`` of those made before) are removed: the result reads none of them."""
+    out = stage(df, tag)
+    spent = _made[since:-1]
+    del _made[since:-1]
+    _remove_folders(spent)
+    return out
+
+
+def made() -> int:
+    return len(_made)
+
+
 @atexit.register
-def _remove_folders() -> None:
-    for spark, path in _made:
+def _remove_folders(folders: list[tuple[SparkSession, str]] | None = None) -> None:
+    for spark, path in _made if folders is None else folders:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

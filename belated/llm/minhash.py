@@ -265,6 +265,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document of least id stays; rows without
     an id stay."""
+    since = common.made()
     groups = near_duplicates(docs)
-    drop = groups.filter(F.col("doc_id") != F.col("group_id")).select("doc_id").distinct()
+    drop = common.settle(groups.filter(F.col("doc_id") != F.col("group_id")).select("doc_id").distinct(), "drop", since)
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)

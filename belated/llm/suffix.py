@@ -333,7 +333,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     some of its bytes goes as a whole; a null text stays null.  Documents of
     which nothing is left stay, empty."""
     source = docs.select(F.col("doc_id").alias("id"), "text")
-    spans = repeated_spans(source).withColumnRenamed("id", "doc_id").withColumnRenamed("spans", "_spans")
+    since = common.made()
+    spans = common.settle(repeated_spans(source), "spans", since).withColumnRenamed("id", "doc_id").withColumnRenamed("spans", "_spans")
     both = docs.join(spans, "doc_id", "left").select(*docs.columns, "_spans")
     at = docs.columns.index("text")
 
