@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,11 +44,14 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 
 def settle(df: DataFrame, tag: str, since: int) -> DataFrame:
     """``stage`` of a result, after which the folders made since ``since``
-    (``len`` of those made before) are removed: the result reads none of them."""
+    (``len`` of those made before) are removed: the result reads none of them.
+    Spark's cleaner then drops the shuffle files that nothing refers to any more."""
     out = stage(df, tag)
     spent = _made[since:-1]
     del _made[since:-1]
     _remove_folders(spent)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 

@@ -40,9 +40,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over bytes modulo 2**64; see ``span_hash``."""
+    """Prefix sums of a polynomial over bytes (or 64-bit hashes) modulo 2**64; see
+    ``span_hash``."""
     out = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    np.cumsum((BYTE[data] if data.dtype == np.uint8 else data) * powers(len(data) + 1)[0][: len(data)], out=out[1:])
     return out
 
 

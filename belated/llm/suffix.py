@@ -27,6 +27,12 @@ of consecutive starts; its context is the bytes that these strings cover.
 5. The repeated spans return to all occurrences with the same context, and
    overlapping spans of a document are merged.
 
+With ``words`` all of this is done on words (runs without ASCII white space)
+instead of bytes: lengths and places count words, and the symbols of the suffix
+array are the words' 64-bit hashes, so that passages are equal if their words
+are, however they are spaced.  The pipeline stage removes passages of over 50
+words this way; op3 removes those of 400 bytes.
+
 Null and empty texts have no bytes and lose none.  Rows with a null id are
 neither searched nor cut.  Rows that repeat an id are told apart by their text:
 an id is expected to be unique, and of rows that share one each is cut by the
@@ -46,11 +52,26 @@ from . import common, kernels
 
 U64 = np.uint64
 MIN_LEN, ANCHOR, HOT, PIECE = 400, 100, 2048, 1 << 18
+#: Of the pipeline stage, in words.
+MIN_WORDS, ANCHOR_WORDS = 51, 8
+
+
+def symbols(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What strings are made of: the bytes, or a hash of each word; and the
+    offsets of the rows in it."""
+    if not words:
+        return data, offsets
+    parts, at = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+    for _, _, part, to in kernels.blocks(data, offsets, kernels.BLOCK_BYTES):
+        starts, ends, per = kernels.words(part, to)
+        parts.append(kernels.span_hash(kernels.prefix_hash(part), starts, ends))
+        at.append(per)
+    return np.concatenate(parts), np.cumsum(np.concatenate(at))
 
 
 def anchors(data: np.ndarray, min_len: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor place, its hash, first start, starts) of the runs of starts that
-    share an anchor, for a text of at least ``min_len`` bytes."""
+    share an anchor, for a text of at least ``min_len`` symbols."""
     prefix = kernels.prefix_hash(data)
     at = np.arange(len(data) - k + 1)
     h = kernels.span_hash(prefix, at, at + k)
@@ -67,11 +88,12 @@ def anchors(data: np.ndarray, min_len: int, k: int) -> tuple[np.ndarray, np.ndar
     return place[first], h[place[first]], first, np.diff(np.append(first, len(place)))
 
 
-def _anchor_rows(min_len: int, k: int):
+def _anchor_rows(min_len: int, k: int, words: bool):
     import xxhash
 
     def run(batch: pa.RecordBatch):
-        data, offsets = kernels.utf8(batch.column(1))
+        data, offsets = symbols(*kernels.utf8(batch.column(1)), words)
+        unit = data.itemsize
         cols: list[list] = [[] for _ in range(7)]
         held = 0
 
@@ -85,10 +107,10 @@ def _anchor_rows(min_len: int, k: int):
             for lo in range(a, b - min_len + 1, PIECE):
                 part = data[lo : min(b, lo + PIECE + min_len - 1)]
                 place, h, first, n = anchors(part, min_len, k)
-                view = memoryview(np.ascontiguousarray(part))
+                view = memoryview(np.ascontiguousarray(part)).cast("B")
                 digest = xxhash.xxh3_128_digest
-                # equal digest: equal bytes, and the anchor at the same place
-                whole = b"".join([digest(view[s : s + m + min_len - 1], seed=o) for s, m, o in zip(first.tolist(), n.tolist(), (place - first).tolist(), strict=True)])
+                # equal digest: equal symbols, and the anchor at the same place
+                whole = b"".join([digest(view[unit * s : unit * (s + m + min_len - 1)], seed=o) for s, m, o in zip(first.tolist(), n.tolist(), (place - first).tolist(), strict=True)])
                 c = np.frombuffer(whole, np.int64).reshape(-1, 2)
                 for col, v in zip(cols, (np.full(len(h), doc, np.int64), h.view(np.int64), c[:, 0], c[:, 1], first + (lo - a), n, place - first), strict=True):
                     col.append(v.astype(np.int64))
@@ -175,14 +197,15 @@ def maximal_repeats(data: np.ndarray, ends: np.ndarray, min_len: int):
                 stack.append([depth, begin])
 
 
-def _group_spans(min_len: int):
-    """Contexts (h, c1, c2, start, n, off, bytes), sorted by anchor: the repeated
-    spans of each, relative to the context's first byte."""
+def _group_spans(min_len: int, words: bool):
+    """Contexts (h, c1, c2, n, symbols), sorted by anchor: the repeated spans of
+    each, relative to the context's first symbol."""
+    kind = np.dtype(U64 if words else np.uint8)
 
     def solve(rows: list[tuple]) -> list[tuple[int, int, int, int, int]]:
         # strings that no other context of the anchor shares need no suffix array
-        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        size = np.array([len(r[4]) for r in rows])
+        data = np.frombuffer(b"".join(r[4] for r in rows), kind)
+        size = np.array([len(r[4]) // kind.itemsize for r in rows])
         ends = np.cumsum(size)
         begin = ends - size
         n = np.array([r[3] for r in rows])
@@ -194,8 +217,10 @@ def _group_spans(min_len: int):
         if not len(busy):
             return []
         part = np.concatenate([data[begin[k] : ends[k]] for k in busy])
+        if words:
+            part = np.unique(part, return_inverse=True)[1]
         stop = np.cumsum(size[busy])
-        reach = np.zeros(len(part), np.int64)  # the longest repeat that starts at a byte
+        reach = np.zeros(len(part), np.int64)  # the longest repeat that starts at a symbol
         for length, places in maximal_repeats(part, stop, min_len):
             reach[places] = np.maximum(reach[places], length)
         at = np.flatnonzero(reach)
@@ -233,26 +258,26 @@ def _group_spans(min_len: int):
     return run
 
 
-def _string_hashes(min_len: int):
+def _string_hashes(min_len: int, words: bool):
     """Hot anchors: the two hashes of each string of a context and its place."""
 
     def run(batch: pa.RecordBatch):
         for i in range(batch.num_rows):
             h, c1, c2, n, raw = (batch.column(k)[i].as_py() for k in range(5))
-            data = np.frombuffer(raw, np.uint8)
+            data = np.frombuffer(raw, U64 if words else np.uint8)
             at = np.arange(n)
             one = kernels.span_hash(kernels.prefix_hash(data), at, at + min_len)
-            two = kernels.span_hash(kernels.prefix_hash(data ^ np.uint8(0x5A)), at, at + min_len)
+            two = kernels.span_hash(kernels.prefix_hash(kernels.mix(data) if words else data ^ np.uint8(0x5A)), at, at + min_len)
             yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, v, np.int64)) for v in (h, c1, c2)), pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["h", "c1", "c2", "a", "s1", "s2"])
 
     return run
 
 
-def _cut_contexts(min_len: int):
-    """(id, text, [(h, c1, c2, start, n)]) to one row of bytes a context."""
+def _cut_contexts(min_len: int, words: bool):
+    """(id, text, [(h, c1, c2, start, n)]) to one row of symbols a context."""
 
     def run(batch: pa.RecordBatch):
-        data, offsets = kernels.utf8(batch.column(1))
+        data, offsets = symbols(*kernels.utf8(batch.column(1)), words)
         for i, wanted in enumerate(batch.column(2).to_pylist()):
             base = int(offsets[i])
             raw = [data[base + w["start"] : base + w["start"] + w["n"] + min_len - 1].tobytes() for w in wanted]
@@ -261,14 +286,15 @@ def _cut_contexts(min_len: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, anchor: int = ANCHOR, hot: int = HOT, *, words: bool = False) -> DataFrame:
     """(id, spans): for each document (id, text) that has any, the byte spans
-    [a, b) whose bytes go; they may overlap."""
+    [a, b) whose bytes go (``words``: of words, by their number); they may overlap."""
     keyed = docs.filter(F.col("id").isNotNull())
-    long_ = keyed.filter(F.octet_length("text") >= min_len)
-    found = common.stage(common.arrow_map(long_, _anchor_rows(min_len, anchor), "id long, h long, c1 long, c2 long, start long, n long, off long").drop("off"), "anchors")
+    long_ = keyed.filter(F.octet_length("text") >= (2 * min_len - 1 if words else min_len))
+    since = common.made()
+    found = common.stage(common.arrow_map(long_, _anchor_rows(min_len, anchor, words), "id long, h long, c1 long, c2 long, start long, n long, off long").drop("off"), "anchors")
     often = found.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
-    repeated = common.stage(found.join(often, "h", "left_semi"), "repeated")
+    repeated = common.settle(found.join(often, "h", "left_semi"), "repeated", since)
     contexts = repeated.groupBy("h", "c1", "c2").agg(F.count("*").alias("k"), F.min("id").alias("id"))
     contexts = common.stage(contexts, "contexts")
     per = contexts.groupBy("h").agg(F.count("*").alias("m"), F.min("k").alias("least")).filter("m > 1 and least = 1").select("h", "m")
@@ -276,11 +302,11 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, anchor: int = ANCHOR
     open_ = contexts.join(per, "h").join(repeated.select("h", "c1", "c2", "id", "start", "n"), ["h", "c1", "c2", "id"]).groupBy("h", "c1", "c2", "m", "id", "n").agg(F.min("start").alias("start"))
     wanted = open_.groupBy("id").agg(F.collect_list(F.struct("h", "c1", "c2", "start", "n")).alias("w"))
     sizes = common.stage(per.filter(F.col("m") > hot), "hot")
-    cut = common.stage(common.arrow_map(keyed.join(wanted, "id").select("id", "text", "w"), _cut_contexts(min_len), "h long, c1 long, c2 long, n long, raw binary"), "cut")
+    cut = common.stage(common.arrow_map(keyed.join(wanted, "id").select("id", "text", "w"), _cut_contexts(min_len, words), "h long, c1 long, c2 long, n long, raw binary"), "cut")
     usual = cut.join(sizes, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-    spans = usual.mapInArrow(_group_spans(min_len), "h long, c1 long, c2 long, a long, b long")
+    spans = usual.mapInArrow(_group_spans(min_len, words), "h long, c1 long, c2 long, a long, b long")
     if sizes.head(1):
-        strings = common.arrow_map(cut.join(sizes, "h", "left_semi"), _string_hashes(min_len), "h long, c1 long, c2 long, a long, s1 long, s2 long")
+        strings = common.arrow_map(cut.join(sizes, "h", "left_semi"), _string_hashes(min_len, words), "h long, c1 long, c2 long, a long, s1 long, s2 long")
         twice = strings.groupBy("s1", "s2").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
         spans = spans.unionByName(strings.join(twice, ["s1", "s2"], "left_semi").select("h", "c1", "c2", "a", (F.col("a") + min_len).alias("b")))
     spans = spans.groupBy("h", "c1", "c2").agg(F.collect_list(F.struct("a", "b")).alias("s"))
@@ -328,20 +354,27 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(common.table(spark, sf_dir, "documents"))
 
 
+def _bytes_of(raw: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte spans of spans of words."""
+    starts, ends, _ = kernels.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return [(int(starts[a]), int(ends[b - 1])) for a, b in gone]
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without the repeated bytes.  A code point that loses
-    some of its bytes goes as a whole; a null text stays null.  Documents of
-    which nothing is left stay, empty."""
+    """Pipeline stage: texts without the passages of ``MIN_WORDS`` words or more
+    that stand somewhere else too; a null text stays null.  Documents of which
+    nothing is left stay, empty."""
     source = docs.select(F.col("doc_id").alias("id"), "text")
     since = common.made()
-    spans = common.settle(repeated_spans(source), "spans", since).withColumnRenamed("id", "doc_id").withColumnRenamed("spans", "_spans")
+    spans = common.settle(repeated_spans(source, MIN_WORDS, ANCHOR_WORDS, words=True), "spans", since).withColumnRenamed("id", "doc_id").withColumnRenamed("spans", "_spans")
     both = docs.join(spans, "doc_id", "left").select(*docs.columns, "_spans")
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
         for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-            texts.append(text if not text or not spans else _kept(text.encode(), merged(spans)).decode(errors="ignore"))
+            raw = (text or "").encode()
+            texts.append(_kept(raw, _bytes_of(raw, merged(spans))).decode() if raw and spans else text)
         cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
         return pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
 

@@ -90,6 +90,21 @@ def test_suffix_dedup(spark, hot, monkeypatch):
     assert [got[k] for k in range(len(texts))] == _removed(texts, 400)
 
 
+@pytest.mark.parametrize("hot", [2048, 2])
+def test_repeats_of_51_words_go(spark, hot, monkeypatch):
+    p, q = prose(8, 51), prose(9, 50)
+    texts = [*AWKWARD, "a " * 51 + p, *(prose(60 + k, 20 + k) + "\n" + p.replace(" ", "\n" if k == 1 else " ") + "\n" + prose(80 + k, 30) for k in range(4)), *(prose(90 + k, 30) + " " + q + " x" + prose(95 + k, 30) for k in range(4)), *(" ".join(prose(8, 120).split()[k : 70 + 3 * k]) for k in range(8)), "a " * 60]
+    assert len(p.encode()) < 400
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (400, 100, hot))
+    got = {r["doc_id"]: r["text"] for r in suffix.remove_repeats(spark, docs(spark, texts), "").collect()}
+    split = [(t or "").split() for t in texts]
+    count = collections.Counter(tuple(w[i : i + 51]) for w in split for i in range(len(w) - 50))
+    for k, w in enumerate(split):
+        gone = {j for i in range(len(w) - 50) if count[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
+        assert (got[k] or "").split() == [x for j, x in enumerate(w) if j not in gone]
+    assert got[0] is None and all(got[k] == texts[k] for k in range(1, 6)) and sum(q in (t or "") for t in got.values()) == 4
+
+
 def test_maximal_repeats():
     data = b"xabcdeyabcdezbcde"
     got = {(n, tuple(sorted(p.tolist()))) for n, p in suffix.maximal_repeats(np.frombuffer(data, np.uint8), np.array([len(data)]), 3)}
