@@ -3,9 +3,11 @@
 Words are runs of bytes other than ASCII white space.  A text fails the base
 rules with fewer than 10 words, or if more than a fifth of its words stand in
 five-word windows that the text holds twice or more.  What is left is compressed
-with zstandard, whole and in consecutive chunks of ``CHUNK`` bytes (the last
-shorter one only if it is the whole text): a ratio of compressed to plain bytes
-under the band for its length is repetitive, one above it incompressible.  A
+with zstandard, whole and in consecutive chunks of ``CHUNK`` bytes (the last one
+overlaps the one before, so that all bytes of a text of more than ``CHUNK`` are
+judged in chunks of equal length; a shorter text is its only chunk): a ratio of
+compressed to plain bytes under the band for its length is repetitive, one above
+it incompressible.  A
 text is kept if its whole ratio lies in the band, no chunk is incompressible and
 fewer than half of its chunks are repetitive.  The bands are fixed limits, wider
 for shorter texts, of which zstandard's own frame is a larger part.
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 
 from . import common, kernels
 
-CHUNK, LEVEL = 4096, 3
+CHUNK, LEVEL = 512, 3
 #: From so many bytes: lowest and highest ratio of a text, and of a chunk.
 BANDS = ((0, 0.0, 9.9), (64, 0.20, 1.30), (128, 0.30, 1.10), (256, 0.28, 0.95), (512, 0.25, 0.85), (1024, 0.20, 0.78), (2048, 0.17, 0.72), (4096, 0.15, 0.68), (16384, 0.12, 0.66))
-CHUNK_BAND = (0.10, 0.80)
+CHUNK_BAND = (0.20, 0.82)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -80,11 +82,11 @@ def passes(text: memoryview | bytes, compressor: zstandard.ZstdCompressor) -> bo
     low, high = band(size)
     if not low <= len(compressor.compress(text)) / size <= high:
         return False
-    whole = size // CHUNK
-    if whole < 2:
+    if size <= CHUNK:
         return True
-    ratios = np.array([len(compressor.compress(text[k * CHUNK : (k + 1) * CHUNK])) / CHUNK for k in range(whole)])
-    return not (ratios > CHUNK_BAND[1]).any() and 2 * int((ratios < CHUNK_BAND[0]).sum()) < whole
+    starts = [*range(0, size - CHUNK, CHUNK), size - CHUNK]
+    ratios = np.array([len(compressor.compress(text[k : k + CHUNK])) / CHUNK for k in starts])
+    return not (ratios > CHUNK_BAND[1]).any() and 2 * int((ratios < CHUNK_BAND[0]).sum()) < len(starts)
 
 
 def assess(batch: pa.RecordBatch):

@@ -125,6 +125,20 @@ def test_quality_counts(spark):
     assert got[len(texts) - 1]["kept"] and not got[len(texts) - 2]["kept"]
 
 
+@pytest.mark.parametrize("clean, tail, letters", [(4096, 4090, 4090), (1536, 1000, 1500), (700, 600, 1100)])
+def test_quality_judges_every_chunk(clean, tail, letters):
+    import zstandard
+
+    r, c = random.Random(5), zstandard.ZstdCompressor(level=quality.LEVEL)
+    words = [prose(k, 1) + "lmnopqrstuvwxyz"[k % 15] for k in range(900)]
+    text = " ".join(r.choice(words) for _ in range(3000)).encode()
+    noise = bytes(r.randrange(33, 127) for _ in range(tail))
+    for n in (100, 512, 513, 1100, clean, clean + tail):
+        assert quality.passes(text[:n], c)
+    for odd in (noise, b"z" * letters):
+        assert not quality.passes(text[:clean] + odd, c) and not quality.passes(odd + text[:clean], c)
+
+
 def test_main_text():
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy</div><article><header><h1>Head &amp; tail</h1></header><p>One <b>two</b>\n three<p>Be.<div class=comments><p>me too</div></article><aside>side</aside><footer>&copy; x</footer>"
     assert html.main_text(page) == "Head & tail\nOne two three\nBe."
