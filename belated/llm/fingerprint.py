@@ -12,8 +12,10 @@ where one has more, so what both hold cancels.  Peeling then recovers the
 differing digests: a cell with a valid check and place holds one alone; it is
 taken out of its other cells, and so on.  It is tried on sub-tables folded to
 four cells a group first and again on all eight where cells remain.  Where that
-fails too, the sub-tables share so little that all their digests count as
-different.  With n1 and n2 digests and d recovered differences the likeness is
+fails too, both sub-tables are built again from their digests with twice the
+cells and places from another hash, and so on, until all peel; two digests that
+still share all their places after ``RETRIES`` doublings are counted one by one.
+With n1 and n2 digests and d recovered differences the likeness is
 (n1 + n2 - d) / (n1 + n2 + d), the Jaccard similarity of the paragraph sets;
 two texts without paragraphs have likeness 1.
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LOAD, GROUPS, CELLS, ROUNDS = 8, 3, 8, 8
+LOAD, GROUPS, CELLS, ROUNDS, RETRIES = 8, 3, 8, 8, 7
 
 
 def paragraphs(text: Column) -> Column:
@@ -59,33 +61,58 @@ def place(digest: Column, group: int, width: int) -> Column:
     return F.shiftright(digest, 16 + 3 * group).bitwiseAND(F.lit(width - 1)).cast("int")
 
 
-def _peel(cells: Column, width: int) -> Column:
-    """struct(cells left, digests recovered) of a sub-table with ``width`` cells a group."""
+def _let(value: Column, body) -> Column:
+    """body(value), value being evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _peel(cells: Column, width, locate, rounds) -> Column:
+    """struct(cells left, digests recovered, whether it went on) of a sub-table
+    with ``width`` cells a group; locate(digest, group) is a digest's place."""
     zero = F.lit(0).cast("long")
 
     def pure(v, i):
         valid = (v != 0) & (F.xxhash64(v.bitwiseAND(F.lit(~0xFFFF))).bitwiseAND(F.lit(0xFFFF)) == v.bitwiseAND(F.lit(0xFFFF)))
-        group = F.floor(i / width)
-        own = F.when(group == 0, place(v, 0, width)).when(group == 1, place(v, 1, width)).otherwise(place(v, 2, width))
-        return valid & (own == i % width)
+        return valid & (locate(v, F.floor(i / width)) == i % width)
 
     def step(state, _):
-        alone = F.array_distinct(F.filter(state["c"], pure))
+        def take_out(alone):
+            def clear(v, i):
+                return F.aggregate(alone, v, lambda acc, d: F.when(locate(d, F.floor(i / width)) == i % width, acc.bitwiseXOR(d)).otherwise(acc))
+
+            changed = F.struct(F.transform(state["c"], clear).alias("c"), (state["d"] + F.size(alone)).cast("long").alias("d"), F.lit(True).alias("live"))
+            return F.when(F.size(alone) > 0, changed).otherwise(F.struct(state["c"].alias("c"), state["d"].alias("d"), F.lit(False).alias("live")))
+
+        return F.when(~state["live"], state).otherwise(_let(F.array_distinct(F.filter(state["c"], pure)), take_out))
+
+    start = F.struct(cells.alias("c"), zero.alias("d"), F.lit(True).alias("live"))
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, step)
+
+
+def _fixed(width: int):
+    """Places of the fingerprint itself."""
+    return lambda d, group: F.when(group == 0, place(d, 0, width)).when(group == 1, place(d, 1, width)).otherwise(place(d, 2, width))
+
+
+def _again(ds: Column, retries: int = RETRIES) -> Column:
+    """Number of differing digests of two sub-tables whose cells did not peel; ds
+    holds the digests of both, so that what both hold stands in it twice."""
 
-        def clear(v, i):
-            group = F.floor(i / width)
+    def attempt(found, t):
+        width = F.call_function("shiftleft", F.lit(CELLS), t)
 
-            def take(acc, d):
-                own = F.when(group == 0, place(d, 0, width)).when(group == 1, place(d, 1, width)).otherwise(place(d, 2, width))
-                return F.when(own == i % width, acc.bitwiseXOR(d)).otherwise(acc)
+        def locate(d, group):
+            return F.call_function("shiftright", F.xxhash64(d, t), (group * 20).cast("int")).bitwiseAND((width - 1).cast("long"))
 
-            return F.aggregate(alone, v, take)
+        def cell(i):
+            return F.aggregate(ds, F.lit(0).cast("long"), lambda acc, d: F.when(locate(d, F.floor(i / width)) == i % width, acc.bitwiseXOR(d)).otherwise(acc))
 
-        changed = F.when(F.size(alone) > 0, F.struct(F.transform(state["c"], clear).alias("c"), (state["d"] + F.size(alone)).cast("long").alias("d")))
-        return changed.otherwise(state)
+        cells = F.transform(F.sequence(F.lit(0), width * GROUPS - 1), cell)
+        peeled = _let(_peel(cells, width, locate, F.size(ds) + 1), lambda p: F.when(_empty(p["c"]), p["d"]).otherwise(F.lit(-1).cast("long")))
+        return F.when(found >= 0, found).otherwise(peeled)
 
-    start = F.struct(cells.alias("c"), zero.alias("d"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+    once = (2 * F.size(F.array_distinct(ds)) - F.size(ds)).cast("long")
+    return _let(F.aggregate(F.sequence(F.lit(1), F.lit(retries)), F.lit(-1).cast("long"), attempt) if retries else F.lit(-1).cast("long"), lambda d: F.when(d >= 0, d).otherwise(once))
 
 
 def _empty(cells: Column) -> Column:
@@ -136,15 +163,15 @@ def _compared(rows: DataFrame, id_col: str) -> DataFrame:
     flat = base.select(*keys, *head, F.explode(kinds).alias("k")).select(*keys, *head, "k.kind", "k.side", "k.bits", F.explode_outer("k.ds").alias("d"))
     flat = flat.withColumn("sub", F.coalesce(sub_table(F.col("d"), F.col("bits")), F.lit(0).cast("long")))
     cells = [F.coalesce(F.bit_xor(F.when(place(F.col("d"), g, CELLS) == c, F.col("d"))), F.lit(0).cast("long")).alias(f"c{g * CELLS + c}") for g in range(GROUPS) for c in range(CELLS)]
-    tables = flat.groupBy(*keys, "kind", "side", "sub").agg(*(F.first(c).alias(c) for c in head), F.count("d").alias("m"), *cells)
+    tables = flat.groupBy(*keys, "kind", "side", "sub").agg(*(F.first(c).alias(c) for c in head), F.count("d").alias("m"), F.collect_list(F.when(F.col("kind") > 0, F.col("d"))).alias("ds"), *cells)
     all_cells = F.array(*(f"c{i}" for i in range(GROUPS * CELLS)))
     half_w = CELLS // 2
     folded = F.array(*(F.col(f"c{g * CELLS + c}").bitwiseXOR(F.col(f"c{g * CELLS + c + half_w}")) for g in range(GROUPS) for c in range(half_w)))
     line = F.when(F.col("m") > 0, F.struct("sub", F.concat_ws(",", F.transform(all_cells, lambda v: F.hex(v))).alias("s")))
-    tables = tables.select(*keys, *head, "kind", "side", "m", F.when(F.col("kind") == 0, line).alias("line"), F.when(F.col("kind") > 0, _peel(folded, half_w)).alias("p1"), all_cells.alias("cells"))
+    tables = tables.select(*keys, *head, "kind", "side", "ds", F.when(F.col("kind") == 0, line).alias("line"), F.when(F.col("kind") > 0, _peel(folded, half_w, _fixed(half_w), F.lit(ROUNDS))).alias("p1"), all_cells.alias("cells"))
     failed = (F.col("kind") > 0) & ~_empty(F.col("p1.c"))
-    tables = tables.withColumn("p2", F.when(failed, _peel(F.col("cells"), CELLS)))
-    found = F.when(~failed, F.col("p1.d")).when(_empty(F.col("p2.c")), F.col("p2.d")).otherwise(F.col("m"))
+    tables = tables.withColumn("p2", F.when(failed, _peel(F.col("cells"), CELLS, _fixed(CELLS), F.lit(ROUNDS))))
+    found = F.when(~failed, F.col("p1.d")).when(_empty(F.col("p2.c")), F.col("p2.d")).otherwise(_again(F.col("ds")))
     per = tables.withColumn("diff", found).groupBy(*keys).agg(
         *(F.first(c).alias(c) for c in head),
         F.collect_list(F.when((F.col("kind") == 0) & (F.col("side") == "o"), F.col("line"))).alias("fo"),

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -190,6 +191,32 @@ def test_fingerprints(spark):
     assert got[n - 1]["near_next"] == pytest.approx(295 / 300)
 
 
+def test_likeness_is_exact(spark):
+    r = random.Random(6)
+    pool = [prose(k, 6) + "." for k in range(400)]
+    texts = [*AWKWARD, *("\n".join(r.sample(pool, r.randint(1, 350))) for _ in range(24))]
+    sets = [{p for p in re.split(r"\n+|(?<=[.!?])\s+", t or "") if p.strip(" ")} for t in texts]
+    for k, row in enumerate(sorted(fingerprint.fingerprints(docs(spark, texts)).collect())):
+        t, nxt = texts[k] or "", texts[k - 1] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        e = {p for p in re.split(r"\n+|(?<=[.!?])\s+", edited) if p.strip(" ")}
+        for name, other in (("near_edited", e), ("near_next", sets[k - 1])):
+            both = sets[k] | other
+            assert row[name] == pytest.approx(len(sets[k] & other) / len(both) if both else 1.0), (k, name)
+
+
+def test_sub_tables_peel_again(spark):
+    r = random.Random(7)
+    rows = []
+    for n in (1, 2, 9, 16, 30):
+        for _ in range(6):
+            both = [f"b{r.random()}" for _ in range(r.randint(0, 9))]
+            rows.append((n, both * 2 + [f"d{r.random()}" for _ in range(n)]))
+    df = spark.createDataFrame(rows, "n int, p array<string>").withColumn("ds", fingerprint.F.transform("p", lambda p: fingerprint.digests(p)[0]))
+    for retries in (0, 4, fingerprint.RETRIES):
+        assert all(x["n"] == x["got"] for x in df.select("n", fingerprint._again(fingerprint.F.col("ds"), retries).alias("got")).collect())
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, other = "<p>" + "x" * 1500, "<p>" + "é" * 600
     rows = [(1, "http://www.a.com/x?y#z", big), (2, "http://a.com/", big), (3, None, None), (4, "bad:[//", other), (5, "http://b.org/é", "small"), (6, "http://b.org/", "small"), (None, "http://a.com/", big)]
