@@ -5,6 +5,7 @@ model parameters."""
 
 from __future__ import annotations
 
+import tempfile
 from math import ceil, sqrt
 
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
@@ -33,6 +34,14 @@ def scale(train: DataFrame, df: DataFrame) -> DataFrame:
     return scaled.withColumn("x", array_to_vector(F.transform(vector_to_array("_scaled"), lambda v: v * by))).drop("_scaled")
 
 
+def cut_lineage(df: DataFrame) -> None:
+    """Boosting cuts its lineage every ten trees, if there is a checkpoint folder:
+    the session's, or else a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="belated-"))
+
+
 def _classifier(kind: str, train: DataFrame, trees: int, seed: int):
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 
@@ -40,6 +49,7 @@ def _classifier(kind: str, train: DataFrame, trees: int, seed: int):
     if kind == "forest":
         return RandomForestClassifier(**columns, numTrees=trees, maxDepth=10, seed=seed)
     if kind == "boosted":
+        cut_lineage(train)
         return GBTClassifier(**columns, maxIter=trees, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=seed)
     if kind == "logistic":
         # an L2 penalty of strength 1 on the summed loss, in terms of the mean loss

@@ -38,6 +38,9 @@ def cascade(stages: dict[float, DataFrame], features: dict[float, list[str]], ps
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    from .learners import cut_lineage
+
+    cut_lineage(psb)
     q_next, out = None, psb
     for cutoff in sorted(stages, reverse=True):
         df = stages[cutoff].join(psb, "entity_id")

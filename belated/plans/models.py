@@ -88,7 +88,7 @@ def classifier_scores(spark, sf):
     df, features = _table(spark, sf)
     data = learners.assemble(df, features)
     out = df.select("entity_id", "fold", "psb")
-    for kind, trees in (("forest", 20), ("boosted", 5), ("logistic", 0)):
+    for kind, trees in (("forest", 500), ("boosted", 500), ("logistic", 0)):
         out = out.join(learners.classify(data, kind, trees=trees).select("entity_id", F.col("score").alias(kind)), "entity_id")
     return out
 
@@ -107,9 +107,9 @@ def network_scores(spark, sf):
 
 @query()
 def vector_clusters(spark, sf):
-    """Ten principal components of the vectors and their cluster."""
-    v = learners.components(roles.vectors(spark, sf), 10)
-    return learners.clusters(v, k=20, starts=3).select("id", "cluster", "cluster_distance")
+    """Fifty principal components of the vectors and their cluster, of fifty."""
+    v = learners.components(roles.vectors(spark, sf), 50)
+    return learners.clusters(v, k=50, starts=10).select("id", "cluster", "cluster_distance")
 
 
 @query()

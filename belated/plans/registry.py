@@ -259,7 +259,7 @@ def upsert(spark, sf):
 
 @query()
 def bootstrap_precision(spark, sf):
-    return ranking.bootstrap(roles.scores(spark, sf, "toxic"), 50, 42, [100])
+    return ranking.bootstrap(roles.scores(spark, sf, "toxic"), 1000, 42, [100])
 
 
 @query()
@@ -269,7 +269,7 @@ def value_cascade(spark, sf):
     folds = roles.entities(spark, sf).select("entity_id", labels.fold(F.col("grant_year")).alias("fold"))
     stages = {c: QUERIES[f"citation_features_{str(c).replace('.', '_')}"](spark, sf).join(folds, "entity_id") for c in CFG.cutoffs}
     feats = {c: [x for x in df.columns if x.startswith(("cum", "cite", "zero"))] for c, df in stages.items()}
-    out = policy.cascade(stages, feats, psb, trees=3)
+    out = policy.cascade(stages, feats, psb, trees=500)
     return policy.flags(out, ["q35", "q75", "q115"])
 
 
