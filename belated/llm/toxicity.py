@@ -6,8 +6,9 @@ Each embedding holds trained dimensions and one fixed one, the smoothed log odds
 of the word or gram in toxic documents of the fitting sample, so that rare but
 telling words count from the first step.  Forward and backward gated recurrent
 units read windows of ``WINDOW`` words; attention weights pool the states to one
-vector, a logistic unit scores it.  Windows start every ``STRIDE`` words, so each
-word stands in two of them, and all are scored; a document's score is that of
+vector, a logistic unit scores it.  Windows start every ``STRIDE`` words and
+overlap by ``WINDOW - STRIDE`` only: most words of a long text stand in one of
+them, and a longer phrase across an edge is in none as a whole.  All are scored; a document's score is that of
 its worst window.
 
 Labels belong to documents, so fitting is multiple-instance learning: a toxic
