@@ -82,21 +82,21 @@ def _removed(texts, m):
     return out
 
 
-@pytest.mark.parametrize("hot", [2048, 2])
-def test_suffix_dedup(spark, hot, monkeypatch):
+@pytest.mark.parametrize("crowd", [512, 3])
+def test_suffix_dedup(spark, crowd, monkeypatch):
     p, q = prose(8, 120), prose(9, 90)
     texts = [*AWKWARD, p, prose(10, 30) + p + prose(11, 30), p[50:], q + q, "z" * 1000, prose(12, 50) + q[:450], *(prose(20 + k, 20) + p[k : 500 + k] + prose(40 + k, 20) for k in range(6))]
-    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (400, 100, hot))
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.deduplicate(docs(spark, texts)).collect()}
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (400, 100, crowd))
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix.deduplicate(docs(spark, texts)).collect()}
     assert [got[k] for k in range(len(texts))] == _removed(texts, 400)
 
 
-@pytest.mark.parametrize("hot", [2048, 2])
-def test_repeats_of_51_words_go(spark, hot, monkeypatch):
+@pytest.mark.parametrize("crowd", [512, 3])
+def test_repeats_of_51_words_go(spark, crowd, monkeypatch):
     p, q = prose(8, 51), prose(9, 50)
     texts = [*AWKWARD, "a " * 51 + p, *(prose(60 + k, 20 + k) + "\n" + p.replace(" ", "\n" if k == 1 else " ") + "\n" + prose(80 + k, 30) for k in range(4)), *(prose(90 + k, 30) + " " + q + " x" + prose(95 + k, 30) for k in range(4)), *(" ".join(prose(8, 120).split()[k : 70 + 3 * k]) for k in range(8)), "a " * 60]
     assert len(p.encode()) < 400
-    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (400, 100, hot))
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (400, 100, crowd))
     got = {r["doc_id"]: r["text"] for r in suffix.remove_repeats(spark, docs(spark, texts), "").collect()}
     split = [(t or "").split() for t in texts]
     count = collections.Counter(tuple(w[i : i + 51]) for w in split for i in range(len(w) - 50))
@@ -106,6 +106,38 @@ def test_repeats_of_51_words_go(spark, hot, monkeypatch):
     assert got[0] is None and all(got[k] == texts[k] for k in range(1, 6)) and sum(q in (t or "") for t in got.values()) == 4
 
 
+def test_crowded_anchors_are_dealt_by_longer_ones(spark, monkeypatch):
+    """A line of 300 bytes and a passage of 500 that many texts share, near copies,
+    and runs of one byte."""
+    r, line, passage, base = random.Random(1), prose(1, 70)[:300], prose(2, 150)[:500], prose(3, 300)
+    texts = [prose(100 + k, 60) + line + prose(200 + k, 60) for k in range(14)] + [prose(300 + k, 20) + passage + prose(400 + k, 40) for k in range(14)]
+    for k in range(14):
+        w = base.split()
+        for _ in range(4):
+            w[r.randrange(len(w))] = f"x{k}"
+        texts.append(" ".join(w))
+    texts += ["z" * 700, "z" * 450 + "y"]
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (400, 100, 4))
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix.deduplicate(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == _removed(texts, 400)
+
+
+def test_suffix_rows_that_repeat_ids(spark):
+    p, x, y = prose(8, 120), prose(9, 100), prose(10, 100)
+    texts, ids = [p + x, y + p, prose(11, 300), p + x, None, "", p], [1, 2, 1, 1, None, None, None]
+    got = sorted(tuple(r)[1:5] for r in suffix.deduplicate(docs(spark, texts, ids)).collect())
+    assert got == sorted(_removed(texts, 400))
+
+
+def test_suffix_marks_passages_of_51_words(spark):
+    p, q = prose(8, 51), prose(9, 50)
+    texts = ["u " + p + " v", prose(1, 30) + "\n" + p.replace(" ", "\n"), "w " + q + " v", "t " + q + " z", prose(5, 200), None]
+    assert len(p.encode()) < 400
+    got = {r["doc_id"]: (r["cut"], r["repeats_passage"]) for r in suffix.deduplicate(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(6)] == [(False, True)] * 2 + [(False, False)] * 4
+    assert suffix.deduplicate(docs(spark, [])).count() == 0
+
+
 def test_maximal_repeats():
     data = b"xabcdeyabcdezbcde"
     got = {(n, tuple(sorted(p.tolist()))) for n, p in suffix.maximal_repeats(np.frombuffer(data, np.uint8), np.array([len(data)]), 3)}
