@@ -7,14 +7,13 @@ of two of them with about ``LOAD`` digests each.  A sub-table has three groups
 of eight cells; a digest is XORed into one cell of each group.  The fingerprint
 is the number of digests and all cells.
 
-Two fingerprints are compared by XOR of their cells, sub-tables folded together
-where one has more, so what both hold cancels.  Peeling then recovers the
-differing digests: a cell with a valid check and place holds one alone; it is
-taken out of its other cells, and so on.  It is tried on sub-tables folded to
-four cells a group first and again on all eight where cells remain.  Where that
-fails too, both sub-tables are built again from their digests with twice the
-cells and places from another hash, and so on, until all peel; two digests that
-still share all their places after ``RETRIES`` doublings are counted one by one.
+To compare two texts both sketches are taken at one size (that of the larger, and
+for unrelated texts that of both together) and their cells subtracted by XOR, so
+what both hold cancels.  Peeling then recovers the differing digests: a cell with
+a valid check and place holds one alone; it is taken out of its other cells, and
+so on until no cell is left or none holds one alone.  In the second case the
+sub-table is built again for both texts with twice as many cells and places from
+another hash, and again, until all peel.
 With n1 and n2 digests and d recovered differences the likeness is
 (n1 + n2 - d) / (n1 + n2 + d), the Jaccard similarity of the paragraph sets;
 two texts without paragraphs have likeness 1.
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LOAD, GROUPS, CELLS, ROUNDS, RETRIES = 8, 3, 8, 8, 7
+LOAD, GROUPS, CELLS = 8, 3, 8
 
 
 def paragraphs(text: Column) -> Column:
@@ -57,8 +56,8 @@ def sub_table(digest: Column, bits: Column) -> Column:
     return F.when(bits == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", digest, F.lit(64) - bits))
 
 
-def place(digest: Column, group: int, width: int) -> Column:
-    return F.shiftright(digest, 16 + 3 * group).bitwiseAND(F.lit(width - 1)).cast("int")
+def place(digest: Column, group: int) -> Column:
+    return F.shiftright(digest, 16 + 3 * group).bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
 def _let(value: Column, body) -> Column:
@@ -66,57 +65,53 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _peel(cells: Column, width, locate, rounds) -> Column:
-    """struct(cells left, digests recovered, whether it went on) of a sub-table
-    with ``width`` cells a group; locate(digest, group) is a digest's place."""
-    zero = F.lit(0).cast("long")
+def mixed(digest: Column, attempt: int) -> Column:
+    """What places and sub-tables are read from: the digest, in attempts to build
+    a sub-table again another hash of it."""
+    return F.xxhash64(digest, F.lit(attempt)) if attempt else digest
 
-    def pure(v, i):
-        valid = (v != 0) & (F.xxhash64(v.bitwiseAND(F.lit(~0xFFFF))).bitwiseAND(F.lit(0xFFFF)) == v.bitwiseAND(F.lit(0xFFFF)))
-        return valid & (locate(v, F.floor(i / width)) == i % width)
-
-    def step(state, _):
-        def take_out(alone):
-            def clear(v, i):
-                return F.aggregate(alone, v, lambda acc, d: F.when(locate(d, F.floor(i / width)) == i % width, acc.bitwiseXOR(d)).otherwise(acc))
 
-            changed = F.struct(F.transform(state["c"], clear).alias("c"), (state["d"] + F.size(alone)).cast("long").alias("d"), F.lit(True).alias("live"))
-            return F.when(F.size(alone) > 0, changed).otherwise(F.struct(state["c"].alias("c"), state["d"].alias("d"), F.lit(False).alias("live")))
+def cells(digest: Column, attempt: int = 0) -> list[Column]:
+    """Aggregates: the cells of a sub-table."""
+    where = mixed(digest, attempt)
+    return [F.coalesce(F.bit_xor(F.when(place(where, g) == c, digest)), F.lit(0).cast("long")).alias(f"c{g * CELLS + c}") for g in range(GROUPS) for c in range(CELLS)]
 
-        return F.when(~state["live"], state).otherwise(_let(F.array_distinct(F.filter(state["c"], pure)), take_out))
 
-    start = F.struct(cells.alias("c"), zero.alias("d"), F.lit(True).alias("live"))
-    return F.aggregate(F.sequence(F.lit(1), rounds), start, step)
+ALL_CELLS = [f"c{i}" for i in range(GROUPS * CELLS)]
 
 
-def _fixed(width: int):
-    """Places of the fingerprint itself."""
-    return lambda d, group: F.when(group == 0, place(d, 0, width)).when(group == 1, place(d, 1, width)).otherwise(place(d, 2, width))
+def peel(attempt: int = 0) -> Column:
+    """Number of digests recovered from the cells, -1 if some stay."""
 
+    def mask(v):
+        """A bit for each of a digest's cells."""
 
-def _again(ds: Column, retries: int = RETRIES) -> Column:
-    """Number of differing digests of two sub-tables whose cells did not peel; ds
-    holds the digests of both, so that what both hold stands in it twice."""
+        def bits(h):
+            return F.call_function("shiftleft", F.lit(1), place(h, 0)).bitwiseOR(F.call_function("shiftleft", F.lit(1 << CELLS), place(h, 1))).bitwiseOR(F.call_function("shiftleft", F.lit(1 << 2 * CELLS), place(h, 2)))
 
-    def attempt(found, t):
-        width = F.call_function("shiftleft", F.lit(CELLS), t)
+        return _let(mixed(v, attempt), bits) if attempt else bits(v)
 
-        def locate(d, group):
-            return F.call_function("shiftright", F.xxhash64(d, t), (group * 20).cast("int")).bitwiseAND((width - 1).cast("long"))
+    def has(m, i):
+        return F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1
 
-        def cell(i):
-            return F.aggregate(ds, F.lit(0).cast("long"), lambda acc, d: F.when(locate(d, F.floor(i / width)) == i % width, acc.bitwiseXOR(d)).otherwise(acc))
+    def pure(v, i):
+        return (v != 0) & (F.xxhash64(v.bitwiseAND(F.lit(~0xFFFF))).bitwiseAND(F.lit(0xFFFF)) == v.bitwiseAND(F.lit(0xFFFF))) & has(mask(v), i)
 
-        cells = F.transform(F.sequence(F.lit(0), width * GROUPS - 1), cell)
-        peeled = _let(_peel(cells, width, locate, F.size(ds) + 1), lambda p: F.when(_empty(p["c"]), p["d"]).otherwise(F.lit(-1).cast("long")))
-        return F.when(found >= 0, found).otherwise(peeled)
+    def step(state, _):
+        def take_out(alone):
+            def clear(v, i):
+                return F.when(v == 0, v).otherwise(F.aggregate(alone, v, lambda acc, a: F.when(has(a["m"], i), acc.bitwiseXOR(a["v"])).otherwise(acc)))
 
-    once = (2 * F.size(F.array_distinct(ds)) - F.size(ds)).cast("long")
-    return _let(F.aggregate(F.sequence(F.lit(1), F.lit(retries)), F.lit(-1).cast("long"), attempt) if retries else F.lit(-1).cast("long"), lambda d: F.when(d >= 0, d).otherwise(once))
+            changed = F.struct(F.transform(state["c"], clear).alias("c"), (state["d"] + F.size(alone)).alias("d"), F.lit(True).alias("live"))
+            return F.when(F.size(alone) > 0, changed).otherwise(F.struct(state["c"].alias("c"), state["d"].alias("d"), F.lit(False).alias("live")))
 
+        alone = F.transform(F.array_distinct(F.filter(state["c"], pure)), lambda v: F.struct(v.alias("v"), mask(v).alias("m")))
+        return F.when(~state["live"], state).otherwise(_let(alone, take_out))
 
-def _empty(cells: Column) -> Column:
-    return F.forall(cells, lambda v: v == 0)
+    start = F.struct(F.array(*ALL_CELLS).alias("c"), F.lit(0).alias("d"), F.lit(True).alias("live"))
+    # a round that goes on recovers one digest at least, and a cell holds one at most
+    rounds = F.sequence(F.lit(0), F.lit(GROUPS * CELLS))
+    return F.aggregate(rounds, start, step, lambda x: F.when(F.forall(x["c"], lambda v: v == 0), x["d"].cast("long")).otherwise(F.lit(-1).cast("long")))
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -151,41 +146,79 @@ def _compared(rows: DataFrame, id_col: str) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("lent.head").substr(F.lit(1), half))
     base = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("edited", edited)
-    base = base.select("row", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("o"), digests(F.col("edited")).alias("e"), F.col("lent.x").alias("x"))
-    base = base.withColumns({f"n{k}": F.size(k).cast("long") for k in "oex"})
+    base = base.select("row", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), digests(F.col("text")).alias("o"), digests(F.col("edited")).alias("e"), F.col("lent.x").alias("x"))
+    no, ne, nx = (F.size(k) for k in "oex")
     keys = ["doc_id", "row"]
-    head = ["n_chars", "edited_sha256", "no", "ne", "nx"]
-    # one row a digest and use: kind 0 the fingerprint, 1 compared with the edit, 2 with the next
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("side"), F.col(c).alias("ds"), b.alias("bits")) for k, s, c, b in (
-        (0, "o", "o", depth(F.col("no"))), (0, "e", "e", depth(F.col("ne"))),
-        (1, "", "o", F.least(depth(F.col("no")), depth(F.col("ne")))), (1, "", "e", F.least(depth(F.col("no")), depth(F.col("ne")))),
-        (2, "", "o", F.least(depth(F.col("no")), depth(F.col("nx")))), (2, "", "x", F.least(depth(F.col("no")), depth(F.col("nx")))))))
-    flat = base.select(*keys, *head, F.explode(kinds).alias("k")).select(*keys, *head, "k.kind", "k.side", "k.bits", F.explode_outer("k.ds").alias("d"))
-    flat = flat.withColumn("sub", F.coalesce(sub_table(F.col("d"), F.col("bits")), F.lit(0).cast("long")))
-    cells = [F.coalesce(F.bit_xor(F.when(place(F.col("d"), g, CELLS) == c, F.col("d"))), F.lit(0).cast("long")).alias(f"c{g * CELLS + c}") for g in range(GROUPS) for c in range(CELLS)]
-    tables = flat.groupBy(*keys, "kind", "side", "sub").agg(*(F.first(c).alias(c) for c in head), F.count("d").alias("m"), F.collect_list(F.when(F.col("kind") > 0, F.col("d"))).alias("ds"), *cells)
-    all_cells = F.array(*(f"c{i}" for i in range(GROUPS * CELLS)))
-    half_w = CELLS // 2
-    folded = F.array(*(F.col(f"c{g * CELLS + c}").bitwiseXOR(F.col(f"c{g * CELLS + c + half_w}")) for g in range(GROUPS) for c in range(half_w)))
-    line = F.when(F.col("m") > 0, F.struct("sub", F.concat_ws(",", F.transform(all_cells, lambda v: F.hex(v))).alias("s")))
-    tables = tables.select(*keys, *head, "kind", "side", "ds", F.when(F.col("kind") == 0, line).alias("line"), F.when(F.col("kind") > 0, _peel(folded, half_w, _fixed(half_w), F.lit(ROUNDS))).alias("p1"), all_cells.alias("cells"))
-    failed = (F.col("kind") > 0) & ~_empty(F.col("p1.c"))
-    tables = tables.withColumn("p2", F.when(failed, _peel(F.col("cells"), CELLS, _fixed(CELLS), F.lit(ROUNDS))))
-    found = F.when(~failed, F.col("p1.d")).when(_empty(F.col("p2.c")), F.col("p2.d")).otherwise(_again(F.col("ds")))
-    per = tables.withColumn("diff", found).groupBy(*keys).agg(
-        *(F.first(c).alias(c) for c in head),
-        F.collect_list(F.when((F.col("kind") == 0) & (F.col("side") == "o"), F.col("line"))).alias("fo"),
-        F.collect_list(F.when((F.col("kind") == 0) & (F.col("side") == "e"), F.col("line"))).alias("fe"),
-        F.sum(F.when(F.col("kind") == 1, F.col("diff"))).alias("d1"), F.sum(F.when(F.col("kind") == 2, F.col("diff"))).alias("d2"))
-
-    def text_of(count, lines):
-        return F.concat(count.cast("string"), F.lit(";"), F.concat_ws(";", F.transform(F.array_sort(lines), lambda x: F.concat(x["sub"].cast("string"), F.lit(":"), x["s"]))))
-
-    def likeness(n1, n2, d):
-        d = F.coalesce(d, F.lit(0)).cast("double")
-        return F.when(n1 + n2 == 0, 1.0).otherwise(F.greatest(F.lit(0.0), (n1 + n2 - d) / (n1 + n2 + d)))
-
-    return per.select(F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", text_of(F.col("no"), F.col("fo")).alias("fingerprint"), text_of(F.col("ne"), F.col("fe")).alias("edited_fingerprint"), likeness(F.col("no"), F.col("ne"), F.col("d1")).alias("near_edited"), likeness(F.col("no"), F.col("nx"), F.col("d2")).alias("near_next"))
+    # one row a digest and use: kind 0 the fingerprints, 1 compared with the edit,
+    # 2 with the next; and one of kind 3 for what the document itself has
+    own = F.struct("n_chars", "sha", "o", "e", "x")
+    with_edit, with_next = depth(F.greatest(no, ne)), depth(no + nx)
+    uses = ((0, "o", "o", depth(no)), (0, "e", "e", depth(ne)), (1, "", "o", with_edit), (1, "", "e", with_edit), (2, "", "o", with_next), (2, "", "x", with_next))
+    kinds = [F.struct(F.lit(k).alias("kind"), F.lit(s).alias("side"), F.col(c).alias("ds"), b.alias("bits"), F.lit(None).cast(_OWN).alias("own")) for k, s, c, b in uses]
+    kinds.append(F.struct(F.lit(3).alias("kind"), F.lit("").alias("side"), F.array(F.lit(0).cast("long")).alias("ds"), F.lit(0).alias("bits"), own.cast(_OWN).alias("own")))
+    flat = base.select(*keys, F.explode(F.array(*kinds)).alias("k")).select(*keys, "k.kind", "k.side", "k.bits", "k.own", F.explode("k.ds").alias("d"))
+    flat = flat.withColumn("sub", sub_table(F.col("d"), F.col("bits")))
+    # own is a key and not an aggregate, which keeps the aggregation in generated code
+    tables = flat.groupBy(*keys, "kind", "side", "bits", "sub", "own").agg(*cells(F.col("d")))
+    line = F.when(F.col("kind") == 0, F.struct("sub", F.concat_ws(",", F.transform(F.array(*ALL_CELLS), lambda v: F.hex(v))).alias("s")))
+    tables = tables.select(*keys, "kind", "side", "bits", "sub", "own", line.alias("line"), F.when(F.col("kind").isin(1, 2), peel()).alias("d"))
+
+    def differing(kind):
+        return F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("d") >= 0), F.col("d"))), F.lit(0).cast("long")).alias(f"d{kind}")
+
+    per = tables.groupBy(*keys).agg(
+        F.collect_list("own")[0].alias("own"),
+        F.collect_list(F.when(F.col("side") == "o", F.col("line"))).alias("fo"),
+        F.collect_list(F.when(F.col("side") == "e", F.col("line"))).alias("fe"),
+        differing(1), differing(2),
+        F.collect_list(F.when(F.col("d") < 0, F.struct("kind", "bits", "sub"))).alias("open"))
+
+    def text_of(side, lines):
+        return F.concat(F.size(side).cast("string"), F.lit(";"), F.concat_ws(";", F.transform(F.array_sort(lines), lambda x: F.concat(x["sub"].cast("string"), F.lit(":"), x["s"]))))
+
+    counts = {f"n{k}": F.size(f"own.{k}").cast("long") for k in "oex"}
+    kept = F.when(F.size("open") > 0, F.struct("own.o", "own.e", "own.x")).alias("ds")
+    judged = common.stage(per.select(*keys, "own.n_chars", F.col("own.sha").alias("edited_sha256"), text_of(F.col("own.o"), F.col("fo")).alias("fingerprint"), text_of(F.col("own.e"), F.col("fe")).alias("edited_fingerprint"), "d1", "d2", *(v.alias(k) for k, v in counts.items()), "open", kept), "judged")
+    more = _again(judged.filter(F.size("open") > 0).select("row", "ds", F.explode("open").alias("f")))
+    more = more.groupBy("row").agg(*(F.sum(F.when(F.col("kind") == k, F.col("d"))).alias(f"m{k}") for k in (1, 2)))
+    done = judged.drop("open", "ds").join(more, "row", "left")
+
+    def likeness(n1, n2, d, m):
+        d = (F.col(d) + F.coalesce(F.col(m), F.lit(0))).cast("double")
+        return F.when(F.col(n1) + F.col(n2) == 0, 1.0).otherwise((F.col(n1) + F.col(n2) - d) / (F.col(n1) + F.col(n2) + d))
+
+    return done.select(F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("no", "ne", "d1", "m1").alias("near_edited"), likeness("no", "nx", "d2", "m2").alias("near_next"))
+
+
+def _again(failed: DataFrame) -> DataFrame:
+    """failed: row, ds (digests o, e, x), f (kind, bits, sub) of each sub-table that
+    did not peel; (row, kind, d) with the number of its differing digests.
+    Each attempt doubles the cells and takes places from another hash."""
+
+    def of(c):
+        return F.filter(F.col(f"ds.{c}"), lambda d: sub_table(d, F.col("f.bits")) == F.col("f.sub"))
+
+    both = F.concat(of("o"), F.when(F.col("f.kind") == 1, of("e")).otherwise(of("x")))
+    open_ = common.stage(failed.select("row", "f.kind", "f.sub", both.alias("ds")), "open")
+    key, found, attempt = ["row", "kind", "sub"], [], 0
+    while True:
+        attempt += 1
+        flat = open_.select(*key, (depth(F.size("ds")) + attempt).alias("bits"), F.explode("ds").alias("g"))
+        flat = flat.withColumn("part", sub_table(mixed(F.col("g"), attempt), F.col("bits")))
+        tables = flat.groupBy(*key, "part").agg(*cells(F.col("g"), attempt)).select(*key, peel(attempt).alias("d"))
+        tried = common.stage(tables.groupBy(*key).agg(F.sum("d").alias("d"), F.min("d").alias("least")), "tried")
+        found.append(tried.filter("least >= 0").select("row", "kind", "d"))
+        stuck = tried.filter("least < 0").select(*key)
+        if not stuck.head(1):
+            break
+        open_ = common.stage(open_.join(stuck, key, "left_semi"), "open")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+_OWN = "struct<n_chars:bigint,sha:string,o:array<bigint>,e:array<bigint>,x:array<bigint>>"
 
 
 def op7_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

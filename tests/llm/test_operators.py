@@ -240,13 +240,18 @@ def test_likeness_is_exact(spark):
 def test_sub_tables_peel_again(spark):
     r = random.Random(7)
     rows = []
-    for n in (1, 2, 9, 16, 30):
+    for n in (1, 2, 9, 16, 30, 200):
         for _ in range(6):
             both = [f"b{r.random()}" for _ in range(r.randint(0, 9))]
-            rows.append((n, both * 2 + [f"d{r.random()}" for _ in range(n)]))
-    df = spark.createDataFrame(rows, "n int, p array<string>").withColumn("ds", fingerprint.F.transform("p", lambda p: fingerprint.digests(p)[0]))
-    for retries in (0, 4, fingerprint.RETRIES):
-        assert all(x["n"] == x["got"] for x in df.select("n", fingerprint._again(fingerprint.F.col("ds"), retries).alias("got")).collect())
+            mine = [f"d{r.random()}" for _ in range(n)]
+            cut = r.randint(0, n)
+            rows.append((len(rows), n, both + mine[:cut], both + mine[cut:]))
+    df = spark.createDataFrame(rows, "row long, n int, p array<string>, q array<string>")
+    o, e = (fingerprint.F.transform(c, lambda p: fingerprint.digests(p)[0]) for c in "pq")
+    F = fingerprint.F
+    failed = df.select("row", F.struct(o.alias("o"), e.alias("e"), e.alias("x")).alias("ds"), F.struct(F.lit(1).alias("kind"), F.lit(0).alias("bits"), F.lit(0).cast("long").alias("sub")).alias("f"))
+    got = {x["row"]: x["d"] for x in fingerprint._again(failed).collect()}
+    assert got == {x[0]: x[1] for x in rows}
 
 
 def test_warc_round_trip(spark, tmp_path):
