@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's
-    ``spark.checkpoint.dir``; where that is unset (tests, one machine), a
-    temporary folder that is set once as the checkpoint folder."""
+    ``spark.checkpoint.dir``; where that is unset and the master is this machine
+    (tests), a temporary folder that is set once as the checkpoint folder."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
         path = sc.getCheckpointDir()
         if not path:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="belated-"))
             path = sc.getCheckpointDir()
     return path.rstrip("/")
@@ -72,11 +74,33 @@ def _remove_folders(folders: list[tuple[SparkSession, str]] | None = None) -> No
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read again, so that a lost
-    executor costs a reread, and both consumers of a table see one result."""
+    executor costs a reread, and both consumers of a table see one result.  The
+    shuffle files of the write go when it ends."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._belated_folder = path
+    return out
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def free(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in staged:
+        gone = [x for x in _made if x[1] == df._belated_folder]
+        _made[:] = [x for x in _made if x[1] != df._belated_folder]
+        _remove_folders(gone)
 
 
 def bound_batches(spark: SparkSession) -> None:

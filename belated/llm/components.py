@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        e = common.stage(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        spent, e = e, common.stage(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        common.free(spent)
         now = e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if tuple(now) == before:
             break

@@ -14,13 +14,14 @@ components of the links.
 * Copies (equal multisets) form classes first, by a commutative 128-bit hash;
   only one document of a class goes on, so a class of any size costs one row.
 * Bands: within a bucket all members are compared with one member (a star),
-  first that of least id, then that with the most verified links.  Then all
-  members that are still in different components are paired, so no link that a
-  bucket holds is lost to the stars, and a group of near copies that hang
-  together costs rows in proportion to its size.
+  first that of least id, then that with the most verified links.  Then members
+  that are still in different components meet in blocks of ``BUCKET_BLOCK``, each
+  pair of blocks a task's key of its own, so no link that a bucket holds is lost to
+  the stars, and a group of near copies that hang together costs rows in
+  proportion to its size.
 * Before sets are fetched, pairs are tested by size, by the parities of ``FOLD``
   hashed counts (never more of them differ than elements do, so no link fails
-  this) and by four bits of each slot (a link fails this with probability 3e-5).
+  this) and by four bits of each slot (a link fails this with probability 3e-7).
 * Verification: |A ∩ B| * 9 >= 4 * (|A| + |B|) on multisets, in the JVM.
 
 With 28 bands of 5 slots a link of similarity 0.8 is missed with probability
@@ -28,8 +29,10 @@ With 28 bands of 5 slots a link of similarity 0.8 is missed with probability
 
 Null, empty and wordless texts are near-duplicates of nothing: each is its own
 class and group.  Rows with a null id come back with null class and group.
-Rows that repeat an id are one document.  Columns other than the id and the text
-are not read.
+Rows that repeat an id are one document, whose text is the one of the least
+(number of shingles, hash of the multiset) among theirs; each such row comes back
+with that document's result.  Columns other than the id and the text are not
+read.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ from . import common, kernels
 from .components import connected_components
 
 U64 = np.uint64
-BANDS, ROWS, FOLD = 28, 5, 2048
+BANDS, ROWS, FOLD, BUCKET_BLOCK = 28, 5, 2048, 256
 _ONE = np.uint64(1)
 
 
@@ -72,7 +75,8 @@ def bag_minhash(h: np.ndarray, weight: np.ndarray, row: np.ndarray, n_rows: int,
         steps = np.arange(k, k + many, dtype=U64) * U64(0x9E3779B97F4A7C15)
         u = kernels.mix(seed[:, None] + steps)
         gap = np.log(((u >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
-        t = time[:, None] - (gap if many == 1 else np.cumsum(gap, axis=1))
+        # one point after another from the running time, whatever ``many`` is
+        t = np.cumsum(np.concatenate((time[:, None], -gap), axis=1), axis=1)[:, 1:] if many > 1 else time[:, None] - gap
         time = t[:, -1]
         early = t < latest[at][:, None]
         v = kernels.mix(u ^ U64(0xA0761D6478BD642F))
@@ -135,10 +139,10 @@ def least_different(x: str, y: str) -> str:
 
 
 def most_unequal(slots: int, num: int, den: int) -> int:
-    """Four standard deviations above the mean number of unequal four bits at a
-    similarity of num/den: a link is refused with probability 3e-5."""
+    """Five standard deviations above the mean number of unequal four bits at a
+    similarity of num/den: a link is refused with probability 3e-7."""
     p = (1 - num / den) * 15 / 16
-    return int(slots * p + 4 * (slots * p * (1 - p)) ** 0.5)
+    return int(slots * p + 5 * (slots * p * (1 - p)) ** 0.5)
 
 
 def _signatures(bands: int, rows: int, size: int):
@@ -148,12 +152,7 @@ def _signatures(bands: int, rows: int, size: int):
             h, row = kernels.shingles(part, at, size)
             n = np.bincount(row, minlength=j - i)
             h, row, number, start = kernels.multiset(h, row)
-            element = kernels.mix(h + number.astype(U64) * U64(0x9E3779B97F4A7C15))
-            whole = np.zeros((2, j - i), U64)
-            edges = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else row
-            if len(row):
-                whole[0, row[edges]] = np.add.reduceat(element, edges)
-                whole[1, row[edges]] = np.add.reduceat(kernels.mix(element ^ U64(0x2545F4914F6CDD1D)), edges)
+            element, whole = elements(h, row, number, j - i)
             weight = np.diff(np.append(start, len(h)))
             sig = bag_minhash(h[start], weight, row[start], j - i, bands * rows)
             few = nibbles(sig)[n > 0]
@@ -168,10 +167,21 @@ def _signatures(bands: int, rows: int, size: int):
     return run
 
 
-def _elements(size: int):
-    """The multiset of a text as a set: the k-th copy of a shingle is an element
-    of its own.  32 bits each: among the elements of two documents of 500 words
-    two clash with probability 1e-4, which moves the overlap by one."""
+def elements(h: np.ndarray, row: np.ndarray, number: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A multiset as a set: the k-th copy of a shingle is an element of its own;
+    and a commutative 128-bit hash of each row's set."""
+    element = kernels.mix(h + number.astype(U64) * U64(0x9E3779B97F4A7C15))
+    whole = np.zeros((2, n_rows), U64)
+    if len(row):
+        edges = np.flatnonzero(np.diff(row, prepend=-1))
+        whole[0, row[edges]] = np.add.reduceat(element, edges)
+        whole[1, row[edges]] = np.add.reduceat(kernels.mix(element ^ U64(0x2545F4914F6CDD1D)), edges)
+    return element, whole
+
+
+def _sets(size: int):
+    """(id, text, c1, c2) to the elements (64-bit hashes) of the rows whose multiset
+    has the hash c1, c2."""
 
     def run(batch: pa.RecordBatch):
         data, offsets = kernels.utf8(batch.column(1), lower=True)
@@ -179,9 +189,10 @@ def _elements(size: int):
             h, row = kernels.shingles(part, at, size)
             n = np.bincount(row, minlength=j - i)
             h, row, number, _ = kernels.multiset(h, row)
-            e = (kernels.mix(h + number.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32).view(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["id", "e"])
+            element, whole = elements(h, row, number, j - i)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(element.view(np.int64)))
+            own = [np.asarray(batch.column(2 + k).slice(i, j - i)) == whole[k].view(np.int64) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["id", "e"]).filter(pa.array(own[0] & own[1]))
 
     return run
 
@@ -201,17 +212,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = source.filter(F.col("id").isNotNull())
     signed = common.stage(common.arrow_map(keyed, _signatures(bands, rows, shingle), "id long, n long, c1 long, c2 long, bands array<long>, sig array<long>, odd array<long>"), "signatures")
-    classes = signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"))
-    exploded = signed.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("h"))
-    exploded = common.stage(exploded, "bands")
-    crowded = exploded.groupBy("h").agg(F.min("id").alias("c"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    member = common.stage(exploded.join(crowded, "h"), "members")  # h, id, n, c
-    candidates = member.select("id").distinct()
-    signs = common.stage(signed.join(candidates, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "sig", "odd"), "signs")
+    of_id = signed.groupBy("id").agg(F.min(F.struct("n", "c1", "c2")).alias("s"), F.count("*").alias("k"))
+    chosen = common.stage(of_id.select("id", "s.*", "k"), "chosen")
+    classes = common.stage(chosen.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep")), "classes")
+    same = ["id", "n", "c1", "c2"]
+    reps = classes.select(F.col("rep").alias("id"), "n", "c1", "c2")
+    exploded = common.stage(signed.join(reps, same, "left_semi").select("id", F.explode("bands").alias("h")), "bands")
+    # staged, so that both sides of the join are plain exchanges and a hot bucket can be split
+    crowded = common.stage(exploded.groupBy("h").agg(F.min("id").alias("c"), F.max("id").alias("z")).filter("c < z").select("h", "c"), "crowded")
+    member = common.stage(exploded.join(crowded, "h"), "members")  # h, id, c
+    common.free(exploded, crowded)
+    candidates = common.stage(member.select("id").distinct().join(reps, "id"), "candidates")
+    signs = common.stage(signed.join(candidates, same, "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "sig", "odd"), "signs")
+    common.free(signed)
     limit = most_unequal(bands * rows, num, den)
     near = f"x.n * {num} <= y.n * {den} and y.n * {num} <= x.n * {den} and {unequal('x.sig', 'y.sig', bands * rows)} <= {limit}"
     near += f" and ({least_different('x.odd', 'y.odd')}) * {num + den} <= (x.n + y.n) * {den - num}"
-    sets = common.stage(common.arrow_map(keyed.join(candidates, "id", "left_semi").dropDuplicates(["id"]), _elements(shingle), "id long, e array<int>"), "sets")
+    sets = common.stage(common.arrow_map(keyed.join(candidates.select("id", "c1", "c2"), "id").select("id", "text", "c1", "c2"), _sets(shingle), "id long, e array<long>").dropDuplicates(["id"]), "sets")
 
     def pair(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
@@ -223,37 +240,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.select(F.col("a").alias("p"), F.col("b").alias("q")).join(x, "p").join(y, "q")
         return both.filter(F.expr(near)).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
-    first = member.filter("id <> c").select(*pair(F.col("id"), F.col("c"))).distinct()
-    links = common.stage(_verified(plausible(first), sets, num, den), "links1")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
-    ranked = member.join(degree, "id", "left").select("h", "id", "n", F.coalesce("d", F.lit(0)).alias("d"))
-    hub = ranked.groupBy("h").agg(F.max("d").alias("d"))
-    hub = ranked.join(hub, ["h", "d"]).groupBy("h").agg(F.min("id").alias("c"))
-    second = member.drop("c").join(hub, "h").filter("id <> c").select(*pair(F.col("id"), F.col("c"))).distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(common.stage(_verified(plausible(second), sets, num, den), "links2"))
+    def verified(pairs: DataFrame, tag: str) -> DataFrame:
+        some = common.stage(pairs, f"{tag}-pairs")
+        out = common.stage(_verified(some, sets, num, den), tag)
+        common.free(some)
+        return out
+
+    first = common.stage(member.filter("id <> c").select(*pair(F.col("id"), F.col("c"))).distinct(), "first")
+    links = verified(plausible(first), "links1")
+    degree = common.stage(links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d")), "degree")
+    ranked = member.join(degree, "id", "left").select("h", "c", F.struct(F.coalesce("d", F.lit(0)).alias("d"), (-F.col("id")).alias("i")).alias("r"))
+    hub = common.stage(ranked.groupBy("h").agg(F.max("r").alias("r"), F.first("c").alias("c")).select("h", (-F.col("r.i")).alias("hub"), "c").filter("hub <> c").select("h", "hub"), "hubs")
+    second = common.stage(member.join(hub, "h").filter("id <> hub and c <> hub").select(*pair(F.col("id"), F.col("hub"))).distinct().join(first, ["a", "b"], "left_anti"), "second")
+    links = common.stage(links.unionByName(verified(plausible(second), "links2")), "links")
     component = connected_components(links)  # id, component
     # what stars have left open: members of one bucket in different components
-    placed = common.stage(member.join(component, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("g")), "placed")
-    split = placed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("h")
-    open_ = placed.join(split, "h", "left_semi")
-    detail = open_.join(signs.select("id", "bands", "sig", "odd"), "id")
-    x, y = detail.alias("x"), detail.alias("y")
-    # a pair of several common buckets is made in that of its first common band
+    placed = common.stage(member.join(component, "id", "left").select("h", "id", F.coalesce("component", "id").alias("g")), "placed")
+    common.free(member, degree, hub)
+    split = common.stage(placed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("k")).filter("lo < hi").select("h", F.ceil(F.col("k") / BUCKET_BLOCK).cast("int").alias("blocks")), "split")
+    open_ = common.stage(placed.join(split, "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "open")
+    common.free(placed, split)
+    detail = open_.join(signs, "id")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # a pair of blocks is one key; a pair of documents is tested in its blocks and, of
+    # several common buckets, in that of the first common band
+    x, y = detail.withColumn("other", every).alias("x"), detail.withColumn("other", every).alias("y")
     once = "x.h = element_at(filter(zip_with(x.bands, y.bands, (u, v) -> if(u = v, u, null)), w -> w is not null), 1)"
-    rest = x.join(y, F.expr(f"x.h = y.h and x.id < y.id and x.g <> y.g and {near} and {once}"))
+    rest = x.join(y, F.expr(f"x.h = y.h and x.own = y.other and x.other = y.own and x.id < y.id and x.g <> y.g and {near} and {once}"))
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    late = common.stage(_verified(rest, sets, num, den), "links3")
+    late = verified(rest.join(first.unionByName(second), ["a", "b"], "left_anti"), "links3")
     if late.head(1):
         component = connected_components(links.unionByName(late))
-    grouped = signed.filter("n > 0").join(classes, ["c1", "c2", "n"]).select("id", "n", F.col("rep").alias("class_id"))
+    common.free(open_, signs, sets, candidates, first, second)
+    grouped = chosen.filter("n > 0").join(classes, ["c1", "c2", "n"]).select("id", "n", "k", F.col("rep").alias("class_id"))
     grouped = grouped.join(component.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    grouped = grouped.select("id", "n", "class_id", F.coalesce("component", "class_id").alias("group_id"))
-    alone = signed.filter("n = 0").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("group_id"))
+    grouped = grouped.select("id", "n", "k", "class_id", F.coalesce("component", "class_id").alias("group_id"))
+    grouped = grouped.unionByName(chosen.filter("n = 0").select("id", "n", "k", F.col("id").alias("class_id"), F.col("id").alias("group_id")))
+    grouped = grouped.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k")))).drop("_", "k")
     missing = source.filter(F.col("id").isNull()).select("id", *(F.lit(None).cast("long").alias(c) for c in ("n", "class_id", "group_id")))
-    out = grouped.unionByName(alone).unionByName(missing)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "group_id")
+    return grouped.unionByName(missing).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "group_id")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

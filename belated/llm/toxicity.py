@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common, kernels
 
-PER_CLASS, MAX_CHARS, WINDOW, STRIDE, THRESHOLD = 800, 4000, 32, 24, 0.7
+PER_CLASS, SPARE, MAX_CHARS, WINDOW, STRIDE, THRESHOLD = 800, 3, 4000, 32, 24, 0.7
 WORD_SLOTS, GRAM_SLOTS, DIMS, HIDDEN, ROUNDS = 1 << 16, 1 << 16, 3, 6, 12
 BLOCK, LEAST_STEPS = 1 << 19, 800
 
@@ -254,8 +254,14 @@ def windows(per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
+    """Learn from at most about ``per_class`` labelled documents of each class outside
+    the held-out fold.  Ids are drawn from the labels first, ``SPARE`` times as many
+    for those that have no document or a long one; they are bounded by a limit, so
+    they are broadcast and no text is shuffled."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pool = docs.select("doc_id", "text").join(marked, "doc_id")
+    order = (F.xxhash64(F.lit("sample"), F.col("doc_id")), "doc_id")
+    ids = [marked.filter(which).orderBy(*order).limit(SPARE * per_class) for which in (F.col("toxic") > 0, F.col("toxic") <= 0)]
+    pool = docs.select("doc_id", "text").join(F.broadcast(common.stage(ids[0].unionByName(ids[1]), "drawn")), "doc_id")
     rows = common.bounded_sample(pool, "doc_id", "toxic", per_class, MAX_CHARS).collect()
     net = Network()
     net.fit([r["text"] for r in rows], np.array([int(r["toxic"]) for r in rows]))

@@ -335,3 +335,33 @@ def test_toxicity_gradients():
             down = net.forward(index, vec).sum()
             net.p[name][at] += eps
             assert (up - down) / (2 * eps) == pytest.approx(g[name][at], abs=2e-2, rel=5e-2)
+
+
+def test_minhash_repeated_ids_and_short_blocks(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    got = minhash.near_duplicates(docs(spark, [a, b, a, None, a, b], [1, 1, 2, 3, None, 1])).collect()
+    assert sum(r["doc_id"] == 1 for r in got) == 3 and len({tuple(r) for r in got if r["doc_id"] == 1}) == 1
+    text, other = prose(3, 9), prose(4, 4000)
+    alone, beside = (next(iter(minhash._signatures(28, 5, 5)(pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t)], ["id", "text"])))) for t in ([text], [text, other]))
+    assert alone.column(4)[0] == beside.column(4)[0]
+
+
+def test_minhash_pairs_blocks_of_a_bucket(spark, monkeypatch):
+    """A family whose members are alike, most of them just under the limit."""
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", 4)
+    r, base = random.Random(9), prose(5, 120).split()
+    texts = []
+    for k in range(40):
+        w = list(base)
+        for j in r.sample(range(120), 2 + k % 2):
+            w[j] = f"x{k}"
+        texts.append(" ".join(w))
+    shingles = [set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for t in texts]
+    root = list(range(40))
+    for a in range(40):
+        for b in range(a):
+            if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if z in (x, y) else z for z in root]
+    got = {x["doc_id"]: x["group_id"] for x in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(40)] == root
