@@ -179,6 +179,71 @@ def test_main_text():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p> </p>") == ""
 
 
+MENU = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li><li><a href='/c'>All the sports of the week</a></li></ul>"
+JUNK = ["<nav>" + MENU + "</nav>", "<div class='top-menu'>Menu <b>x</b></div>", "<div class=ad><div>Buy</div> now</div>", "<aside>About the writer</aside>", "<form action=/s><input name=q><label>Find</label></form>", "<script>var x = '<p>no</p>';</script>", "<div id=cookie-notice>We use cookies</div>", "<section class=comments><article class=comment><p>First!</p></article></section>", "<footer><p>(c) us</p></footer>", "<!-- <p>old</p> -->", "<p class=advert>Deal of the day"]
+
+
+def _article(r, k):
+    """Blocks as html, and their text."""
+    blocks, text = ["<h1>Title &amp; %d</h1>" % k], [f"Title & {k}"]
+    for j in range(r.randint(1, 7)):
+        body = prose(1000 * k + j, r.randint(8, 60))
+        kind = r.randrange(5)
+        if kind == 0:
+            blocks.append("<ul>" + "".join(f"<li><a href=/{n}>part {n} of {j}</a></li>" for n in range(7)) + "</ul>")
+            text += [f"part {n} of {j}" for n in range(7)]
+        else:
+            blocks.append(("<p>{}</p>", "<blockquote>\n {}</blockquote>", "<p title='a > b'>{}", "<div><p>{}</p></div>")[kind - 1].format(body.replace(" ", "\n ", 1)))
+            text.append(body)
+    blocks.append("<p>A short <em>end</em>.</p>")
+    return blocks, [*text, "A short end."]
+
+
+@pytest.mark.parametrize("layout", ["article", "main", "soup"])
+def test_main_text_of_templates(layout):
+    r = random.Random(layout)
+    for k in range(60):
+        blocks, want = _article(r, k)
+        if layout == "soup":  # nothing names the text: lines decide
+            blocks[1:1], want[1:1] = ["<p>" + prose(k, 40) + "</p>"], [prose(k, 40)]
+            page = "<div>" + MENU + "</div><div>" + "".join(blocks) + "</div><div>" + MENU + "</div><div>Copyright</div>"
+        else:
+            for _ in range(r.randint(0, 2)):
+                blocks.insert(r.randint(1, len(blocks) - 1), r.choice(JUNK[:-1]))
+            page = "".join(r.choice(JUNK) for _ in range(3)) + f"<{layout} class='with-sidebar'>" + "".join(blocks) + f"</{layout}>" + "".join(r.choice(JUNK) for _ in range(3))
+            if k % 3 == 0:
+                page = "<div class='page-header wrapper'>" + page + "</div>"
+            if k % 5 == 0:
+                page = "<form action=/x>" + page
+        page = "<html><head><title>T</title><style>p{}</style></head><body class=has-sidebar>" + page + "</body></html>"
+        assert html.main_text(page) == "\n".join(want), page
+
+
+def test_lines_decide_without_names(monkeypatch):
+    """With a surge that no line reaches alone, and with one that all do."""
+    page = "<div><p>tiny</p></div>" + MENU * 2 + "<div><p>" + "long text " * 20 + "</p></div>"
+    assert html.main_text(page) == ("long text " * 20).strip()
+    assert html.main_text(page, surge=1) == "tiny\n" + ("long text " * 20).strip()
+    assert html.stretches([0, 5, 0, 0, 0, 90, 0, 9, 0, 0, 0, 3]) == [(3, 8)]
+
+
+def test_pages_take_linear_time():
+    import time
+
+    for x in ('<a href="', "<div class=\"a\" title='x>", "<p class=ad>", "<script>", "<", "<div class=ad>", "<!--", "<nav>", '<a b="c>'):
+        begin = time.process_time()
+        html.main_text(x * 30_000)
+        assert time.process_time() - begin < 10
+
+
+def test_pages_awkward_rows(spark):
+    rows = [(1, None, None, 5), (2, "u", "", 5), (None, None, "<p>x", 5), (2, "u", "<p>" + "y " * 50_000, 5), (2, "u", "<p>" + "y " * 50_000, 5)]
+    got = sorted((tuple(r) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()), key=repr)
+    long_ = ("y " * 50_000).strip()
+    assert got == sorted([(1, None, "", 0), (2, "u", "", 0), (None, None, "x", 1), *[(2, "u", long_, len(long_))] * 2], key=repr)
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_packing(spark):
     texts = [*AWKWARD, "a b's, don't 12 | x\x1cy z <|endoftext|> ÀÉ", *(prose(k, 30 + 7 * k) for k in range(60))]
     out = packing.pack_documents(docs(spark, texts)).collect()
