@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,33 @@ def flags(df: DataFrame, qs: list[str]) -> DataFrame:
     return out.withColumn("policy_full", F.least(*(f"policy_{q}" for q in qs)) if len(qs) > 1 else F.col(f"policy_{qs[0]}"))
 
 
+def policy_statistics(df: DataFrame, policies: list[str], by: list[str] = ()) -> DataFrame:
+    """Of each policy flag: rows selected, hits, precision and recall (0 if empty).
+    One pass over the rows."""
+    sums = [a for p in policies for a in (F.coalesce(F.sum(p), F.lit(0)).alias(f"{p}_s"), F.coalesce(F.sum(F.col(p) * F.col("y")), F.lit(0)).alias(f"{p}_h"))]
+    a = df.groupBy(*by).agg(F.coalesce(F.sum("y"), F.lit(0)).alias("positives"), *sums)
+    rows = F.explode(F.array(*(F.struct(F.lit(p).alias("policy"), F.col(f"{p}_s").alias("selected"), F.col(f"{p}_h").alias("hits")) for p in policies)))
+    a = a.select(*by, "positives", rows.alias("x")).select(*by, "positives", "x.*")
+    share = lambda n: F.when(F.col(n) > 0, F.col("hits") / F.col(n)).otherwise(0.0)
+    return a.select(*by, "policy", "selected", "hits", share("selected").alias("precision"), share("positives").alias("recall"))
+
+
+def sweep(settings: dict[str, dict], stages: dict[float, DataFrame], features: dict[float, list[str]], psb: DataFrame, first: str = "q35") -> DataFrame:
+    """(entity_id, psb, one column of first-stage values a setting): the cascade
+    fitted anew with each setting, which are keyword arguments of ``cascade``
+    (a reward, a weight of positives, a kind of backup)."""
+    out = psb
+    for name, options in settings.items():
+        out = out.join(cascade(stages, features, psb, **options).select("entity_id", F.col(first).alias(name)), "entity_id", "left")
+    return out
+
+
+#: Settings of the three sweeps.
+REWARDS = {f"reward_{x}": {"cfg": replace(Config(), reward=float(x))} for x in (4, 8, 12, 16, 20, 24)}
+WEIGHTS = {f"weight_{x}": {"cfg": replace(Config(), positive_weight=float(x))} for x in (50, 100, 200, 300, 500, 664, 1000, 2000)}
+BACKUPS = {x: {"kind": x} for x in ("clip", "no_clip", "softplus", "reward_shaping")}
+
+
 def cascade(stages: dict[float, DataFrame], features: dict[float, list[str]], psb: DataFrame, kind: str = "clip", trees: int = 20, cfg: Config = Config()) -> DataFrame:
     """Fit Q at the last cutoff, predict all folds, back up, and so on to the
     first.  stages: entity_id, fold and features at each cutoff."""

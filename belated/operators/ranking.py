@@ -68,32 +68,47 @@ def profit(df: DataFrame, ks: list[int], reward: float = 8.0) -> DataFrame:
     return t.select("k", "hits", (F.col("hits") * reward - F.col("k")).alias("profit"), ((F.col("hits") * reward - F.col("k")) / F.col("k")).alias("per_item"))
 
 
-def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
+def calibration(df: DataFrame, bins: int = 10, cost: float = 1.0, reward: float = 8.0) -> DataFrame:
     """Quantile bins (edges that coincide are merged; the first bin is closed on
-    the left): rows, mean score and mean outcome."""
+    the left): rows, mean score and outcome, mean value (reward of positives less
+    the cost) and the error of the score as its prediction."""
     edges = df.agg(F.array_distinct(F.percentile("score", F.array(*(F.lit(i / bins) for i in range(bins + 1))))).alias("e"))
     placed = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("e", lambda x: x < F.col("score")))))
-    return placed.groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("rate"), F.avg("score").alias("mean_score"))
-
-
-def hypergeometric(n: int, positives: int, k: int, hits: int) -> float:
-    """P(at least ``hits`` positives among k drawn of n)."""
-    from math import exp, lgamma
-
-    def choose(a, b):
-        return lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
-
-    return sum(exp(choose(positives, i) + choose(n - positives, k - i) - choose(n, k)) for i in range(hits, min(positives, k) + 1) if n - positives >= k - i)
-
-
-def bootstrap(df: DataFrame, replicates: int, seed: int, ks: list[int]) -> DataFrame:
-    """Poisson bootstrap of P@k: each row gets a Poisson(1) weight in each
-    replicate from a hash of its id, the same for all models; nothing is
-    collected.  Rows are weighted, not copied."""
-    r = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
-    r = r.withColumn("w", weight).filter("w > 0")
-    w = Window.partitionBy("rep").orderBy(F.desc("score"), "id")
-    r = r.withColumn("k", F.sum("w").over(w))
-    return r.groupBy("rep").agg(*((F.sum(F.when(F.col("k") <= k, F.col("w") * F.col("y")).otherwise(0)) / k).alias(f"p_at_{k}") for k in ks))
+    out = placed.groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("rate"), F.avg("score").alias("mean_score"), (F.avg("y") * reward - cost).alias("mean_actual"))
+    return out.withColumn("error", F.col("mean_score") - F.col("mean_actual"))
+
+
+def melted(df: DataFrame, models: list[str], keep: list[str]) -> DataFrame:
+    """One row a model: (keep, model, score); rows without a score go."""
+    both = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("score")) for m in models)))
+    return df.select(*keep, both.alias("m")).select(*keep, "m.*").filter("score is not null")
+
+
+def class_tables(df: DataFrame, by: str, models: list[str], ks: list[int], least: int = 50) -> DataFrame:
+    """By class of ``least`` rows or more: rows, positives, and of each model the
+    average precision and precision at each k (0 without positives), one row a
+    class.  df: id, y, ``by`` and a score column a model."""
+    size = df.groupBy(by).agg(F.count("*").alias("count"), F.sum("y").alias("positives")).filter(F.col("count") >= least)
+    rows = melted(df.join(size.select(by), by, "left_semi"), models, ["id", "y", by])
+    ap = average_precision(rows, [by, "model"], guard=False).groupBy(by).pivot("model", models).agg(F.first("ap"))
+    ap = ap.select(by, *(F.col(m).alias(f"{m}_ap") for m in models))
+    prec = top_k(rows, [by, "model"], ks).withColumn("c", F.concat_ws("_p_at_", "model", "k"))
+    columns = [f"{m}_p_at_{k}" for m in models for k in ks]
+    prec = prec.groupBy(by).pivot("c", columns).agg(F.first("precision"))
+    out = size.join(ap, by, "left").join(prec, by, "left")
+    return out.select(by, "count", "positives", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in [*(f"{m}_ap" for m in models), *columns]))
+
+
+def model_profit(df: DataFrame, models: list[str], ks: list[int], reward: float = 8.0, cost: float = 1.0) -> DataFrame:
+    """Profit of keeping the first k rows of each model.  df: id, y, a score a model."""
+    t = top_k(melted(df, models, ["id", "y"]), ["model"], ks).join(melted(df, models, ["id"]).groupBy("model").agg(F.count("*").alias("n")), "model")
+    drawn = F.least("k", "n")
+    gain = F.col("hits") * reward - drawn * cost
+    return t.select("model", "k", "hits", gain.alias("profit"), F.when(drawn > 0, gain / drawn).otherwise(0.0).alias("per_item"))
+
+
+def best_marked(df: DataFrame, key: str, value: str, against: str) -> DataFrame:
+    """Rows of a sweep with the difference to the row ``against`` and a mark on the
+    best; a sweep has a row a setting."""
+    base = df.agg(F.max(F.when(F.col(key) == against, F.col(value))).alias("base"), F.max(value).alias("best"))
+    return df.crossJoin(F.broadcast(base)).select(*df.columns, (F.col(value) - F.col("base")).alias("delta"), (F.col(value) == F.col("best")).alias("is_best"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, labels, learners, networks, ranking
+from ..operators import graph, labels, learners, networks, prepare, ranking
 from . import roles
 from .registry import CFG, QUERIES, query, r
 
@@ -18,12 +18,12 @@ def fold_diagnostics(spark, sf):
     return r(e.groupBy("fold").agg(F.count("*").alias("n"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("sd"), F.min(p).alias("low"), F.max(p).alias("high"), F.countDistinct("p_size").alias("sizes")), 6)
 
 
-@query("SELECT l_orderkey, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_distinct, arg_min(l_suppkey, (l_linenumber, l_suppkey)) AS first_supplier FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_distinct, max(first) AS first_supplier FROM (SELECT *, first_value(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY nullif(l_linenumber, 1) ASC NULLS LAST, l_suppkey) AS first FROM lineitem) GROUP BY l_orderkey")
 def first_in_sequence(spark, sf):
-    """Rows, distinct parties and the party of least sequence number (ties: the
-    least party) of each entity."""
-    li = roles.table(spark, sf, "lineitem")
-    return li.groupBy("l_orderkey").agg(F.count("*").alias("n_rows"), F.countDistinct("l_suppkey").alias("n_distinct"), F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("first_supplier"))
+    """Rows, distinct parties and the party of least sequence number (nulls, which
+    stand for the 1 here, last; ties: the least party) of each entity."""
+    li = roles.table(spark, sf, "lineitem").withColumn("sequence", F.nullif(F.col("l_linenumber"), F.lit(1)))
+    return li.groupBy("l_orderkey").agg(F.count("*").alias("n_rows"), F.countDistinct("l_suppkey").alias("n_distinct"), F.min_by("l_suppkey", prepare.least_in_sequence(F.col("sequence"), F.col("l_suppkey"))).alias("first_supplier"))
 
 
 @query("SELECT l_shipmode_year AS y, round(sum(l_quantity) FILTER (l_returnflag = 'A'), 4) AS A, round(sum(l_quantity) FILTER (l_returnflag = 'N'), 4) AS N, round(sum(l_quantity) FILTER (l_returnflag = 'R'), 4) AS R FROM (SELECT *, CAST(year(l_shipdate) AS INT) AS l_shipmode_year FROM lineitem) GROUP BY ALL")

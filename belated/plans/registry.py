@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import curves
-from ..operators import graph, labels, policy, ranking, vectors
+from ..operators import graph, inference, labels, policy, ranking, vectors
 from . import roles
 
 CFG = Config()
@@ -38,6 +38,12 @@ def annual_counts(spark, sf):
     return graph.annual_counts(roles.edges(spark, sf))
 
 
+@query(f"WITH {roles.EDGES.replace(' WHERE l_quantity > 45', '')} SELECT entity_id, cite_year, count(*) AS fwd_count FROM e GROUP BY ALL")
+def annual_counts_all(spark, sf):
+    """Annual counts over all rows of the edge table."""
+    return graph.annual_counts(roles.all_edges(spark, sf))
+
+
 @query(f"WITH {roles.EDGES} SELECT citing, count(*) AS bwd_total, count(*) FILTER (category = 'examiner') AS bwd_examiner, count(*) FILTER (category = 'applicant') AS bwd_applicant FROM e GROUP BY citing")
 def backward_counts(spark, sf):
     return graph.backward_counts(roles.edges(spark, sf))
@@ -244,22 +250,28 @@ def portfolio_profit(spark, sf):
 
 @query(f"""WITH {roles.SCORES.format(label='quality')}, g AS (SELECT list_distinct(quantile_cont(tscore, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM s),
 b AS (SELECT greatest(1, len(list_filter(e, lambda x: x < tscore))) AS bin, y, tscore FROM s CROSS JOIN g)
-SELECT CAST(bin AS INT) AS bin, count(*) AS n, round(avg(y), 8) AS rate, round(avg(tscore), 8) AS mean_score FROM b GROUP BY bin""")
+SELECT CAST(bin AS INT) AS bin, count(*) AS n, round(avg(y), 8) AS rate, round(avg(tscore), 8) AS mean_score, round(-1.0 + 8.0 * avg(y), 8) AS mean_actual, round(avg(tscore) - (-1.0 + 8.0 * avg(y)), 8) + 0.0 AS error FROM b GROUP BY bin""")
 def calibration(spark, sf):
-    return r(ranking.calibration(roles.scores(spark, sf, tied=True)))
+    return r(ranking.calibration(roles.scores(spark, sf, tied=True), 10, CFG.costs[3.5], CFG.reward))
 
 
-@query("""WITH a AS (SELECT unnest([5, 6, 7, 8]) AS n, 'old' AS src), b AS (SELECT unnest([7, 8, 9]) AS n, 'new' AS src)
-SELECT CAST(n AS BIGINT) AS model, src FROM a WHERE n NOT IN (SELECT n FROM b) UNION ALL SELECT CAST(n AS BIGINT), src FROM b""")
+@query("""WITH a AS (SELECT o_custkey AS model, sum(o_totalprice) AS total, 'old' AS src FROM orders WHERE year(o_orderdate) < 1997 GROUP BY ALL),
+b AS (SELECT o_custkey AS model, sum(o_totalprice) AS total, 'new' AS src FROM orders WHERE year(o_orderdate) >= 1997 GROUP BY ALL)
+SELECT model, round(total, 2) AS total, src FROM a WHERE model NOT IN (SELECT model FROM b) UNION ALL SELECT model, round(total, 2), src FROM b""")
 def upsert(spark, sf):
+    """Totals of customers by the earlier orders, replaced by those of the later."""
     from ..sources import files
 
-    return files.upsert(spark.range(5, 9).select(F.col("id").alias("model"), F.lit("old").alias("src")), spark.range(7, 10).select(F.col("id").alias("model"), F.lit("new").alias("src")), "model")
+    orders = roles.table(spark, sf, "orders").withColumn("src", F.when(F.year("o_orderdate") < 1997, "old").otherwise("new"))
+    total = r(orders.groupBy(F.col("o_custkey").alias("model"), "src").agg(F.sum("o_totalprice").alias("total")), 2)
+    return files.upsert(total.filter("src = 'old'"), total.filter("src = 'new'"), "model")
 
 
 @query()
 def bootstrap_precision(spark, sf):
-    return ranking.bootstrap(roles.scores(spark, sf, "toxic"), 1000, 42, [100])
+    """Draws of resamples of fixed size, paired over two models."""
+    s = roles.scores(spark, sf, "toxic").select("id", "y", F.col("score").alias("length"), F.floor(F.col("score") / 500).cast("double").alias("length_band"))
+    return inference.bootstrap(s, ["length", "length_band"], [100], 1000, 42)
 
 
 @query()
@@ -273,4 +285,4 @@ def value_cascade(spark, sf):
     return policy.flags(out, ["q35", "q75", "q115"])
 
 
-from . import models  # noqa: E402, F401  registers its queries here
+from . import build, evaluation, models  # noqa: E402, F401  register their queries here

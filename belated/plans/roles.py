@@ -18,8 +18,11 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Citations: rows of lineitem above a quantity."""
-    li = table(spark, sf, "lineitem").filter("l_quantity > 45")
+    """Citations: rows of lineitem above a quantity, so that some entities have none."""
+    return _edges(table(spark, sf, "lineitem").filter("l_quantity > 45"))
+
+
+def _edges(li: DataFrame) -> DataFrame:
     year = 1980 + (F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1
     category = F.when(F.col("l_returnflag") == "A", "examiner").when(F.col("l_returnflag") == "R", "applicant").otherwise("other")
     e = li.select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("citing"), F.col("l_suppkey").alias("supplier"), year.cast("int").alias("cite_year"), category.alias("category"))
@@ -36,6 +39,31 @@ def rich_edges(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("entity_id", "age", "category", known.alias("citing_class"), F.col("supplier").alias("citing_assignee"), F.col("c_nationkey").alias("citing_location"), ((known != F.col("cited_class")) & (known != "UNK")).alias("cross"), (F.col("supplier") == F.col("entity_id") % n).alias("same_assignee"))
 
 
+def registrations(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as raw text rows: padded ids, some dates and numbers that don't parse."""
+    k = F.col("o_orderkey")
+    date = F.when(k % 13 == 0, "unknown").otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    filed = F.date_format(F.date_sub(F.to_date("o_orderdate"), (k % 900).cast("int")), "yyyyMMdd")
+    small = F.when(k % 3 == 0, "Y").when(k % 3 == 1, "N")
+    return table(spark, sf, "orders").select(F.lpad(k.cast("string"), 10, "0").alias("raw_id"), date.alias("date_text"), filed.alias("filed_text"), small.alias("small_entity"))
+
+
+def details(spark: SparkSession, sf: str) -> DataFrame:
+    """Kind, withdrawal and numbers of six in seven orders, as text."""
+    k = F.col("o_orderkey")
+    kind = F.when(F.col("o_orderstatus") == "P", "design").otherwise("utility")
+    withdrawn = F.when(k % 11 == 0, "1").when(k % 19 == 0, "x").otherwise("0")
+    claims = F.when(k % 17 == 0, "n/a").when(k % 5 != 0, (k % 40).cast("string"))
+    return table(spark, sf, "orders").filter(k % 7 != 0).select(k.cast("string").alias("entity_id"), kind.alias("kind"), withdrawn.alias("withdrawn"), claims.alias("num_claims"))
+
+
+def parties(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of lineitem as classes, assignees and inventors of an order; some
+    sequences and codes are null."""
+    n = F.col("l_linenumber")
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("entity_id"), F.nullif(n - 1, F.lit(2)).alias("sequence"), F.col("l_returnflag").alias("section"), F.nullif(F.col("l_linestatus"), F.lit("F")).alias("class"), F.col("l_suppkey").alias("party"), F.element_at(F.array(*(F.lit(x) for x in (1, 2, 3, 9, None))), (F.col("l_suppkey") % 5 + 1).cast("int")).cast("int").alias("party_type"), F.col("l_quantity").alias("quantity"))
+
+
 def paid_events(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events")
     first = ev.groupBy("user_id").agg(F.to_date(F.min("ts")).alias("anchor"))
@@ -47,6 +75,11 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("class"), F.col("embedding").alias("v"), ((1980 + F.col("vec_id") % 10).between(1982, 1986)).alias("train"))
 
 
+def all_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Citations: all rows of lineitem."""
+    return _edges(table(spark, sf, "lineitem"))
+
+
 def scores(spark: SparkSession, sf: str, label: str = "quality", tied: bool = False) -> DataFrame:
     s = F.col("n_chars").cast("double")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), (F.floor(s / 500).cast("double") if tied else s).alias("score"))
@@ -83,6 +116,16 @@ s AS (SELECT m.entity_id, round(CASE WHEN m.tm = 0 THEN 0.0 ELSE w.b END, 9) AS
       FROM m JOIN w USING (entity_id))"""
 
 
+REGISTRATIONS = """
+reg AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS raw_id, CASE WHEN o_orderkey % 13 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y%m%d') END AS date_text,
+          strftime(CAST(o_orderdate AS DATE) - CAST(o_orderkey % 900 AS INT), '%Y%m%d') AS filed_text, CASE o_orderkey % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' END AS small_entity FROM orders),
+det AS (SELECT CAST(o_orderkey AS VARCHAR) AS entity_id, CASE WHEN o_orderstatus = 'P' THEN 'design' ELSE 'utility' END AS kind,
+          CASE WHEN o_orderkey % 11 = 0 THEN '1' WHEN o_orderkey % 19 = 0 THEN 'x' ELSE '0' END AS withdrawn,
+          CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 40 AS VARCHAR) END AS num_claims FROM orders WHERE o_orderkey % 7 <> 0),
+par AS (SELECT CAST(l_orderkey AS VARCHAR) AS entity_id, nullif(l_linenumber - 1, 2) AS sequence, l_returnflag AS section, nullif(l_linestatus, 'F') AS class, l_suppkey AS party,
+          ([1, 2, 3, 9, NULL])[l_suppkey % 5 + 1] AS party_type, l_quantity AS quantity FROM lineitem)"""
+
+
 SCORES = """
 s AS (SELECT d.doc_id AS id, lang AS grp, CAST(n_chars AS DOUBLE) AS dscore, floor(n_chars / 500.0) AS tscore, CAST(l.{label} AS BIGINT) AS y
       FROM documents d JOIN labels l USING (doc_id))"""

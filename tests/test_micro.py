@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from belated.functions import curves
-from belated.operators import labels, policy, ranking
+from belated.operators import inference, labels, policy, ranking
 from belated.sources import files
 
 
@@ -39,7 +39,7 @@ def test_backups(spark):
 
 
 def test_hypergeometric():
-    assert ranking.hypergeometric(166665, 425, 100, 6) == pytest.approx(2.584e-07, rel=1e-3)
+    assert inference.hypergeometric(166665, 425, 100, 6) == pytest.approx(2.584e-07, rel=1e-3)
 
 
 def test_whitespace_rows(spark):

@@ -4,7 +4,7 @@ import inspect
 
 import pytest
 
-from belated.operators import learners, policy, ranking
+from belated.operators import inference, learners, policy
 from belated.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +15,7 @@ class Called(Exception):
 
 
 @pytest.mark.parametrize("name, module, function, want", [
-    ("value_cascade", policy, "cascade", {"trees": 500}), ("bootstrap_precision", ranking, "bootstrap", {"replicates": 1000}),
+    ("value_cascade", policy, "cascade", {"trees": 500}), ("bootstrap_precision", inference, "bootstrap", {"replicates": 1000}),
     ("classifier_scores", learners, "classify", {"trees": 500}), ("vector_clusters", learners, "components", {"k": 50}), ("vector_clusters", learners, "clusters", {"k": 50, "starts": 10})])
 def test_full_parameters(spark, monkeypatch, name, module, function, want):
     signature = inspect.signature(getattr(module, function))
