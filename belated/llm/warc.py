@@ -6,11 +6,14 @@ that nothing points to.  Of records with equal payloads of at least
 ``MIN_REVISIT`` bytes that with the largest page id is a response, the others
 are revisits without payload that refer to it.
 
-Index: capture lines, keyed by the reversed host and path of the URL, are range
-partitioned and sorted, and written as compressed blocks of ``BLOCK_LINES``
-lines.  A sparse directory keeps the first key, file, offset and length of each
-block.  A lookup searches the directory by bisection, reads the block by its
-byte range, searches the block, and reads the record by its byte range.
+Index: capture lines, keyed by the reversed host and path of the URL and the
+page id, are range partitioned and sorted, and written as compressed blocks of
+``BLOCK_LINES`` lines.  At the end of each index file its sparse directory keeps
+the first key, offset and length of each block; the first keys of the files, one
+row a range partition, are the top of it.  A lookup searches the files' keys by
+bisection, reads the file's directory by its byte range, searches that, reads the
+block by its byte range, searches the block, and reads the record by its byte
+range.  Reading back looks every page up this way, by its URL's key and its id.
 
 Null html is an empty payload; a null URL is an empty URI.  Rows with a null
 page id are responses; so is a whole group of equal payloads that has no id.
@@ -37,7 +40,7 @@ from . import common
 MIN_REVISIT, BLOCK_LINES, DATE = 1000, 256, "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 INDEX_SCHEMA = "page_id long, key string, file string, offset long, length long"
-DIRECTORY_SCHEMA = "first_key string, file string, offset long, length long, lines long"
+FILES_SCHEMA = "file string, first_key string, first_id long, offset long, length long, blocks long"
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -85,9 +88,13 @@ def decided(pages: DataFrame) -> DataFrame:
     """Pages with digest, payload size and the response that a revisit refers to."""
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     hashed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    large = hashed.filter(F.col("size") >= MIN_REVISIT).groupBy("digest", "size").agg(F.max("page_id").alias("of"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    large = hashed.filter(F.col("size") >= MIN_REVISIT).groupBy("digest", "size").agg(F.max("page_id").alias("of"), F.count("*").alias("k")).filter("k > 1")
+    # staged, so that both sides are plain exchanges and a hot payload can be split;
+    # small payloads, which refer to nothing, are dealt by their pages
+    large = common.stage(large.select("digest", "size", "of", F.lit(0).cast("long").alias("salt")), "large")
+    salt = F.when(F.col("size") >= MIN_REVISIT, F.lit(0).cast("long")).otherwise(F.xxhash64("page_id", "url"))
     refers = F.when((F.col("size") >= MIN_REVISIT) & (F.col("page_id") < F.col("of")), F.col("of"))
-    return hashed.join(large, ["digest", "size"], "left").select("page_id", "url", "payload", "digest", "size", refers.alias("refers_to"))
+    return hashed.withColumn("salt", salt).join(large, ["digest", "size", "salt"], "left").select("page_id", "url", "payload", "digest", "size", refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -118,22 +125,30 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return common.stage(decided(pages).mapInArrow(run, INDEX_SCHEMA), "captures")
 
 
+Place = tuple[str, bool, int]
+
+
+def place(key: str, page_id: int | None) -> Place:
+    """The order of capture lines; no id comes first."""
+    return key, page_id is not None, page_id or 0
+
+
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Write the sorted, compressed blocks; the sparse directory of them."""
+    """Write the sorted, compressed blocks and directories; one row an index file."""
     base = _uri(folder)
     n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = captures.repartitionByRange(n, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
+    order = ("key", "page_id", "file", "offset")
+    ranged = captures.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches):
-        out, name, at, held, rows = None, f"index-{uuid.uuid4().hex}.z", 0, [], []
+        out, name, at, held, directory = None, f"index-{uuid.uuid4().hex}.z", 0, [], []
 
-        def block():
+        def put(lines):
             nonlocal at
-            data = zlib.compress("\n".join(json.dumps(x) for x in held).encode(), 6)
+            data = zlib.compress("\n".join(json.dumps(x) for x in lines).encode(), 6)
             out.write(data)
-            rows.append((held[0][0], name, at, len(data), len(held)))
             at += len(data)
-            held.clear()
+            return at - len(data), len(data)
 
         for batch in batches:
             for page_id, key, file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -143,41 +158,74 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
                 held.append((key, page_id, file, offset, length))
                 if len(held) == BLOCK_LINES:
-                    block()
+                    directory.append((*held[0][:2], *put(held)))
+                    held = []
         if held:
-            block()
+            directory.append((*held[0][:2], *put(held)))
         if out is not None:
+            offset, length = put(directory)
             out.close()
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["first_key", "file", "offset", "length", "lines"])
-
-    return common.stage(ranged.mapInArrow(run, DIRECTORY_SCHEMA), "directory")
-
+            first = directory[0]
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first[0]]), *(pa.array([v], pa.int64()) for v in (first[1], offset, length, len(directory)))], [x.split()[0] for x in FILES_SCHEMA.split(", ")])
+
+    return common.stage(ranged.mapInArrow(run, FILES_SCHEMA), "index-files")
+
+
+class IndexFile:
+    """One open index file: its directory, and the block read last."""
+
+    def __init__(self, fs, path: str, offset: int, length: int):
+        self.f = fs.open_input_file(path)
+        self.directory = self._lines(offset, length)
+        self.firsts = [place(x[0], x[1]) for x in self.directory]
+        self.number, self.block = -1, []
+
+    def _lines(self, offset: int, length: int) -> list[list]:
+        return [json.loads(x) for x in zlib.decompress(self.f.read_at(length, offset)).decode().split("\n")]
+
+    def search(self, low: Place, high: Place) -> list[list]:
+        """The capture lines with places from low to high."""
+        found = []
+        k = max(0, bisect.bisect_left(self.firsts, low) - 1)
+        while k < len(self.firsts) and self.firsts[k] <= high:
+            if k != self.number:
+                lines = self._lines(*self.directory[k][2:4])
+                self.number, self.block = k, [(place(x[0], x[1]), x) for x in lines]
+            at = bisect.bisect_left(self.block, low, key=lambda x: x[0])
+            while at < len(self.block) and self.block[at][0] <= high:
+                found.append(self.block[at][1])
+                at += 1
+            k += 1
+        return found
 
-def read_block(fs, path: str, offset: int, length: int) -> list[list]:
-    with fs.open_input_file(path) as f:
-        return [json.loads(x) for x in zlib.decompress(f.read_at(length, offset)).decode().split("\n")]
+    def close(self) -> None:
+        self.f.close()
 
 
 class CaptureIndex:
-    """Lookups by URL on the driver.  Holds the sparse directory only: one row for
-    ``BLOCK_LINES`` captures."""
+    """The top of the index: one row an index file, that is a range partition of the
+    writer's, whose number is a setting and does not grow with the captures."""
 
-    def __init__(self, directory: DataFrame, index_folder: str, archive_folder: str):
-        self.rows = sorted(tuple(r) for r in directory.collect())
-        self.keys = [r[0] for r in self.rows]
+    def __init__(self, files: DataFrame, index_folder: str, archive_folder: str):
+        self.rows = sorted((tuple(r) for r in files.collect()), key=lambda r: place(r[1], r[2]))
+        self.firsts = [place(r[1], r[2]) for r in self.rows]
         self.index, self.archives = _uri(index_folder), _uri(archive_folder)
 
+    def holders(self, low: Place, high: Place) -> list[tuple]:
+        """The rows of the files that can hold places from low to high."""
+        k = max(0, bisect.bisect_left(self.firsts, low) - 1)
+        return self.rows[k : max(k, bisect.bisect_right(self.firsts, high))]
+
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """Headers and payload of every capture of a URL (by its sort key)."""
-        key, found = sort_key(url), []
+        key = sort_key(url)
+        low, high = (key, False, 0), (key, True, 1 << 63)
         fs, path = _open(self.index)
-        k = max(0, bisect.bisect_left(self.keys, key) - 1)
-        while k < len(self.rows) and self.keys[k] <= key:
-            lines = read_block(fs, f"{path}/{self.rows[k][1]}", *self.rows[k][2:4])
-            at = bisect.bisect_left([x[0] for x in lines], key)
-            found += [x for x in lines[at:] if x[0] == key]
-            k += 1
+        found = []
+        for name, _, _, offset, length, _ in self.holders(low, high):
+            one = IndexFile(fs, f"{path}/{name}", offset, length)
+            found += one.search(low, high)
+            one.close()
         fs, path = _open(self.archives)
         out = []
         for _, _, file, offset, length in found:
@@ -187,19 +235,44 @@ class CaptureIndex:
         return out
 
 
-def read_back(directory: DataFrame, index_folder: str, archive_folder: str) -> DataFrame:
-    """All records: blocks by the directory, then each archive's records by their
-    byte ranges, in order of place.  A response's digest is computed anew."""
-    index, archives = _uri(index_folder), _uri(archive_folder)
-
-    def lines(batch: pa.RecordBatch):
-        fs, path = _open(index)
-        for _, file, offset, length, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            cols = list(zip(*read_block(fs, f"{path}/{file}", offset, length), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[1], pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["page_id", "key", "file", "offset", "length"])
+def read_back(pages: DataFrame, captures: CaptureIndex) -> DataFrame:
+    """The records of all pages (page_id, url): each page's place is searched in the
+    file that can hold it, then each archive's records are read by their byte ranges,
+    in order of place.  A response's digest is computed anew."""
+    top = captures
+
+    def holders(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for page_id, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = sort_key(url)
+            at = place(key, page_id)
+            rows += [(r[0], key, page_id, r[3], r[4]) for r in top.holders(at, at)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "key", "page_id", "at", "size"])
+
+    def lines(batches):
+        fs, path = _open(top.index)
+        name, one, last = None, None, None
+        for batch in batches:
+            found = []
+            for file, key, page_id, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, key, page_id) == last:
+                    continue  # the capture lines of one page were all found at once
+                last = (file, key, page_id)
+                if file != name:
+                    if one:
+                        one.close()
+                    name, one = file, IndexFile(fs, f"{path}/{file}", offset, length)
+                at = place(key, page_id)
+                found += one.search(at, at)
+            if found:
+                cols = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[1], pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["page_id", "key", "file", "offset", "length"])
+        if one:
+            one.close()
 
     def records(batches):
-        fs, path = _open(archives)
+        fs, path = _open(top.archives)
         file, f = None, None
         for batch in batches:
             rows = []
@@ -221,8 +294,10 @@ def read_back(directory: DataFrame, index_folder: str, archive_folder: str) -> D
         if f:
             f.close()
 
-    blocks = directory.repartition(F.xxhash64("file", "offset"))
-    places = common.arrow_map(blocks, lines, INDEX_SCHEMA)
+    wanted = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    order = ("file", "key", "page_id")
+    asked = common.arrow_map(wanted, holders, "file string, key string, page_id long, at long, size long").repartition("file").sortWithinPartitions(*order)
+    places = asked.mapInArrow(lines, INDEX_SCHEMA)
     # neighbours stay together, 16 MB of an archive at most
     dealt = places.repartition("file", (F.col("offset") / (1 << 24)).cast("long")).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(records, RECORD_SCHEMA)
@@ -231,8 +306,8 @@ def read_back(directory: DataFrame, index_folder: str, archive_folder: str) -> D
 def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     archives, index = common.new_folder(spark, "warc"), common.new_folder(spark, "cdx")
-    directory = write_index(write_archives(pages, archives), index)
-    return read_back(directory, index, archives)
+    files = write_index(write_archives(pages, archives), index)
+    return read_back(pages, CaptureIndex(files, index, archives))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

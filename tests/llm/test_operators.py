@@ -324,14 +324,30 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://www.a.com/x?y#z", big), (2, "http://a.com/", big), (3, None, None), (4, "bad:[//", other), (5, "http://b.org/é", "small"), (6, "http://b.org/", "small"), (None, "http://a.com/", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     archives, index = str(tmp_path / "w"), str(tmp_path / "i")
-    directory = warc.write_index(warc.write_archives(pages, archives), index)
-    got = {r["page_id"]: tuple(r)[2:] for r in warc.read_back(directory, index, archives).collect()}
+    top = warc.CaptureIndex(warc.write_index(warc.write_archives(pages, archives), index), index, archives)
+    got = {r["page_id"]: tuple(r)[2:] for r in warc.read_back(pages, top).collect()}
     assert got[1] == (1503, hashlib.sha1(big.encode()).hexdigest(), "revisit", 2) and got[2][2:] == ("response", None)
     assert got[3][0] == 0 and got[5][2] == got[6][2] == "response" and got[4][0] == 1203
-    found = warc.CaptureIndex(directory, index, archives).lookup("http://A.com/")
+    found = top.lookup("http://A.com/")
     assert len(found) == 2 and {len(p) for _, p in found} == {1503}
 
 
+def test_warc_lookups_over_many_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of two lines, one URL that a third of the pages have, repeated and null
+    ids, extra columns with clashing names: every row comes back once."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    rows = [(k % 50 if k % 7 else None, "http://hot.org/" if k % 3 else f"http://h{k % 9}.com/{k % 5}", "x" * (k % 4 * 600), "f", 1) for k in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, file string, size long")
+    archives, index = str(tmp_path / "w"), str(tmp_path / "i")
+    top = warc.CaptureIndex(warc.write_index(warc.write_archives(pages, archives), index), index, archives)
+    assert len(top.rows) > 1 and sum(r[5] for r in top.rows) >= 60
+    got = [tuple(r)[:4] for r in warc.read_back(pages, top).collect()]
+    want = [(i, u, len(h), hashlib.sha1(h.encode()).hexdigest()) for i, u, h, *_ in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert len(top.lookup("http://hot.org/")) == sum(r[1] == "http://hot.org/" for r in rows) and not top.lookup("http://none.org/")
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
 def test_sentencepiece_against_brute_force():
     pieces, byte_ids, plain = sentencepiece.load(sentencepiece.default_model())
     u = sentencepiece.Unigram(pieces, byte_ids, plain)
