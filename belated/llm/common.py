@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -103,6 +104,16 @@ def free(*staged: DataFrame) -> None:
         _remove_folders(gone)
 
 
+def give_back() -> None:
+    """Return the driver's freed memory to the system after a fit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Rows of an Arrow batch: 2000, where the session still has Spark's default,
     so that a Python worker holds some megabytes of text at a time."""

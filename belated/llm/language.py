@@ -198,7 +198,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learn from text and non-null lang of the rows outside the held-out fold."""
     pool = docs.select("doc_id", "text", "lang").filter(~common.is_held_out(F.col("doc_id")))
     rows = common.bounded_sample(pool, "doc_id", "lang", per_language, MAX_CHARS).collect()
-    return LanguageModel([(r["text"], r["lang"]) for r in rows])
+    model = LanguageModel([(r["text"], r["lang"]) for r in rows])
+    del rows
+    common.give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,14 +2,16 @@
 
 A word enters as the embedding of its hash (word input) and the mean embedding
 of its hashed character 5-grams, word boundaries included (character input).
-Each embedding holds trained dimensions and one fixed one, the smoothed log odds
-of the word or gram in toxic documents of the fitting sample, so that rare but
-telling words count from the first step.  Forward and backward gated recurrent
-units read windows of ``WINDOW`` words; attention weights pool the states to one
-vector, a logistic unit scores it.  Windows start every ``STRIDE`` words and
-overlap by ``WINDOW - STRIDE`` only: most words of a long text stand in one of
-them, and a longer phrase across an edge is in none as a whole.  All are scored; a document's score is that of
-its worst window.
+Each holds trained dimensions and fixed ones, the smoothed log odds of the word,
+of its best gram and of its first eight characters in toxic documents of the
+fitting sample, so that rare but telling words count from the first step; in
+fitting a document's odds are those of the other documents, so that no word
+tells its own label.  Forward and backward gated recurrent units read windows of
+``WINDOW`` words; attention weights pool the states to one vector, a logistic
+unit scores it.  Windows start every ``STRIDE`` words, half a window, so every
+word but those at the ends stands in two, and a phrase of up to ``STRIDE`` words
+is in one as a whole.  All are scored; a document's score is that of its worst
+window.
 
 Labels belong to documents, so fitting is multiple-instance learning: a toxic
 document teaches by its worst window, a clean one by its worst and a random one,
@@ -28,30 +30,38 @@ from pyspark.sql import functions as F
 
 from . import common, kernels
 
-PER_CLASS, SPARE, MAX_CHARS, WINDOW, STRIDE, THRESHOLD = 800, 3, 4000, 32, 24, 0.7
+PER_CLASS, SPARE, MAX_CHARS, WINDOW, STRIDE, THRESHOLD = 800, 3, 4000, 32, 16, 0.7
 WORD_SLOTS, GRAM_SLOTS, DIMS, HIDDEN, ROUNDS = 1 << 16, 1 << 16, 3, 6, 12
 BLOCK, LEAST_STEPS = 1 << 19, 800
+POSITIVE = 0.25  # share of the loss that toxic documents have
+EMBED = 1.0  # rate of the embeddings, in steps of the other parameters
+INPUTS = 2 * (DIMS + 1) + 1
 
 
 def read(data: np.ndarray, offsets: np.ndarray):
-    """Word slots, per-row word counts, gram slots and the first gram of each
-    word.  The text is lower case; edge punctuation is dropped from words."""
+    """Word slots, per-row word counts, gram slots, the first gram of each word and
+    the number of its grams, and slots of word starts of eight characters.  The text is lower case; edge punctuation is dropped from words."""
     x = _FOLD[data]
     starts, ends, per = kernels.words(x, offsets)
     word = (kernels.span_hash(kernels.prefix_hash(x), starts, ends) & np.uint64(WORD_SLOTS - 1)).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
     # grams over the squeezed words with a blank at each side
     size = ends - starts + 2
     first = np.concatenate(([0], np.cumsum(size)))
-    y = np.full(first[-1] + 4, 0x20, np.uint32)
+    y = np.full(first[-1] + 8, 0x20, np.uint32)
     at = np.arange(int((ends - starts).sum()))
     shift = np.repeat(starts - np.concatenate(([0], np.cumsum(ends - starts)[:-1])), ends - starts) if len(starts) else at
     put = np.repeat(first[:-1] + 1 - np.concatenate(([0], np.cumsum(ends - starts)[:-1])), ends - starts) if len(starts) else at
     y[at + put] = x[at + shift]
-    h = y[:-4] * np.uint32(0x9E3779B1) + y[1:-3] * np.uint32(0x85EBCA77) + y[2:-2] * np.uint32(0xC2B2AE3D) + y[3:-1] * np.uint32(0x27D4EB2F) + y[4:] * np.uint32(0x165667B1)
-    h ^= h >> np.uint32(15)
-    gram = ((h * np.uint32(0x2C1B3C6D)) >> np.uint32(16)).astype(np.int64)
+    h = y[:-8] * np.uint32(0x9E3779B1) + y[1:-7] * np.uint32(0x85EBCA77) + y[2:-6] * np.uint32(0xC2B2AE3D) + y[3:-5] * np.uint32(0x27D4EB2F) + y[4:-4] * np.uint32(0x165667B1)
+    # the longer gram at the same place: a word's start and the next letters
+    far = h + y[5:-3] * np.uint32(0x7FEB352D) + y[6:-2] * np.uint32(0x846CA68B) + y[7:-1] * np.uint32(0x9E3779B9)
+
+    def slot(x):
+        x = x ^ (x >> np.uint32(15))
+        return ((x * np.uint32(0x2C1B3C6D)) >> np.uint32(16)).astype(np.int64)
+
     # a word's grams start and end in it (its size - 4), or there is one that runs on
-    return word, per, gram, first[:-1], np.maximum(size - 4, 1)
+    return word, per, slot(h), first[:-1], np.maximum(size - 4, 1), slot(far[first[:-1]])
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -70,7 +80,7 @@ class Network:
 
     def __init__(self, seed: int = 11):
         r = np.random.default_rng(seed)
-        d, h = 2 * (DIMS + 1), HIDDEN
+        d, h = INPUTS, HIDDEN
 
         def normal(*shape, s):
             return (r.standard_normal(shape) * s).astype(np.float32)
@@ -78,20 +88,25 @@ class Network:
         self.p = {"word": normal(WORD_SLOTS, DIMS, s=0.02), "gram": normal(GRAM_SLOTS, DIMS, s=0.02), "att": normal(2 * h, s=0.3), "out": normal(2 * h, s=0.5), "bias": np.full(1, -2.0, np.float32)}
         for k in "fb":
             self.p |= {f"w{k}": normal(d, 3 * h, s=0.5 / d**0.5 * 2), f"u{k}": normal(h, 3 * h, s=1 / h**0.5), f"c{k}": np.zeros(3 * h, np.float32)}
-        self.word_odds, self.gram_odds = np.zeros(WORD_SLOTS, np.float32), np.zeros(GRAM_SLOTS, np.float32)
+        self.word_odds, self.gram_odds, self.start_odds = np.zeros(WORD_SLOTS, np.float32), np.zeros(GRAM_SLOTS, np.float32), np.zeros(GRAM_SLOTS, np.float32)
         self.fitted = False
 
-    def vectors(self, word, gram, first, count):
-        """Inputs of words: trained word part and odds, character part and odds."""
-        out = np.zeros((len(word) + 1, 2 * (DIMS + 1)), np.float32)
+    def vectors(self, word, gram, first, count, start, own=None):
+        """Inputs of words: trained word part and odds, character part and odds of
+        its grams and its start.  own: the labels of the words' documents, in fitting:
+        odds are then those of the other documents."""
+        odds = [self.word_odds, self.gram_odds, self.start_odds] if own is None else self.others
+        out = np.zeros((len(word) + 1, INPUTS), np.float32)
         if len(word):
             n = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             g, cut = gram[n], np.cumsum(count) - count
             out[:-1, :DIMS] = self.p["word"][word]
-            out[:-1, DIMS] = self.word_odds[word]
+            pick = (lambda table, slot, by=None: table[slot]) if own is None else (lambda table, slot, by=own: table[by, slot])
+            out[:-1, DIMS] = pick(odds[0], word)
             for k in range(DIMS):
                 out[:-1, DIMS + 1 + k] = np.add.reduceat(self.p["gram"][:, k].take(g), cut) / count
-            out[:-1, -1] = np.maximum.reduceat(self.gram_odds.take(g), cut)
+            out[:-1, -2] = np.maximum.reduceat(pick(odds[1], g) if own is None else pick(odds[1], g, np.repeat(own, count)), cut)
+            out[:-1, -1] = pick(odds[2], start)
         return out  # the last row is padding
 
     def forward(self, index, vec, keep=False):
@@ -165,19 +180,26 @@ class Network:
         if not len(y) or y.min() == y.max():
             return
         data, offsets = kernels.utf8(pa.array(texts, pa.large_string()), lower=True)
-        word, per, gram, first, count = read(data, offsets)
+        word, per, gram, first, count, start = read(data, offsets)
         row = np.repeat(np.arange(len(y)), per)
         # smoothed log odds by documents: in how many toxic and clean ones a slot occurs
         n = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        for name, slot, of in (("word_odds", word, row), ("gram_odds", gram[n], np.repeat(row, count))):
+        own = toxic.astype(np.int64)[row]
+
+        def odds(pos, all_):
+            p1, p0 = (pos + 1.0) / (y.sum() + 2), (all_ - pos + 1.0) / ((1 - y).sum() + 2)
+            return np.clip(np.log(p1 / p0) * (all_ / (all_ + 6.0)), -2, 4).astype(np.float32)
+
+        self.others = []
+        for name, slot, of in (("word_odds", word, row), ("gram_odds", gram[n], np.repeat(row, count)), ("start_odds", start, row)):
             slots = len(getattr(self, name))
             pair = np.unique(slot * len(y) + of)
             s, d = pair // len(y), pair % len(y)
             pos, all_ = np.bincount(s, y[d], slots), np.bincount(s, minlength=slots)
-            neg = all_ - pos
-            p1, p0 = (pos + 1.0) / (y.sum() + 2), (neg + 1.0) / ((1 - y).sum() + 2)
-            odds = np.log(p1 / p0) * (all_ / (all_ + 6.0))
-            setattr(self, name, np.clip(odds, -2, 4).astype(np.float32))
+            setattr(self, name, odds(pos, all_))
+            # without the document itself: a clean one, a toxic one
+            rest = np.maximum(all_ - 1, 0)
+            self.others.append(np.stack([odds(np.minimum(pos, rest), rest), odds(np.maximum(pos - 1, 0), rest)]))
         index, doc = windows(per)
         rng = np.random.default_rng(seed)
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
@@ -189,23 +211,23 @@ class Network:
             if epoch % max(1, rounds // 15):
                 pass  # with many short rounds the windows are chosen anew 15 times
             elif peak is None:
-                vec = self.vectors(word, gram, first, count)
-                best = np.concatenate((vec[:, DIMS] + vec[:, -1], [-9]))[index].max(axis=1)
+                vec = self.vectors(word, gram, first, count, start, own)
+                best = np.concatenate((vec[:, DIMS] + vec[:, -2] + vec[:, -1], [-9]))[index].max(axis=1)
             else:
-                vec = self.vectors(word, gram, first, count)
+                vec = self.vectors(word, gram, first, count, start, own)
                 best = np.concatenate([self.forward(index[k : k + 8192], vec) for k in range(0, len(index), 8192)])
             rank = np.lexsort((-best, doc))
             peak = rank[order_doc[:-1]]
             extra = order_doc[:-1] + (rng.random(len(y)) * np.diff(order_doc)).astype(np.int64)
             use = np.concatenate((peak, extra[y == 0]))
             rng.shuffle(use)
-            weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
+            weight = np.where(y > 0, POSITIVE / y.mean(), (1 - POSITIVE) / (1 - y.mean())).astype(np.float32)
             for k in range(0, len(use), 256):
                 b = use[k : k + 256]
                 words_, inv = np.unique(index[b], return_inverse=True)
                 ids = words_[words_ >= 0]
                 local = inv.reshape(len(b), -1) - int(words_[0] < 0)
-                v = self.vectors(word[ids], gram, first[ids], count[ids])
+                v = self.vectors(word[ids], gram, first[ids], count[ids], start[ids], own[ids])
                 logit, saved = self.forward(local, v, keep=True)
                 target, wt = y[doc[b]], weight[doc[b]]
                 d_logit = ((_sigmoid(logit) - target) * wt / len(b)).astype(np.float32)
@@ -213,10 +235,11 @@ class Network:
                 step += 1
                 rate = 0.02 * min(1, step / 20) * (0.3 if epoch > 0.7 * rounds else 1)
                 self._adam(g, moments, step, rate)
-                np.add.at(self.p["word"], word[ids], -0.5 * rate * 20 * d_vec[:-1, :DIMS])
+                np.add.at(self.p["word"], word[ids], -EMBED * rate * d_vec[:-1, :DIMS])
                 c, f = count[ids], first[ids]
                 m = np.repeat(f, c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                np.add.at(self.p["gram"], gram[m], -0.5 * rate * 20 * np.repeat(d_vec[:-1, DIMS + 1 : -1] / c[:, None], c, axis=0))
+                np.add.at(self.p["gram"], gram[m], -EMBED * rate * np.repeat(d_vec[:-1, DIMS + 1 : -2] / c[:, None], c, axis=0))
+        del self.others
         self.fitted = True
 
     def _adam(self, g, moments, step, rate):
@@ -233,8 +256,8 @@ class Network:
             return out
         data, offsets = kernels.utf8(column, lower=True)
         for i, j, part, at in kernels.blocks(data, offsets, BLOCK):
-            word, per, gram, first, count = read(part, at)
-            vec = self.vectors(word, gram, first, count)
+            word, per, gram, first, count, start = read(part, at)
+            vec = self.vectors(word, gram, first, count, start)
             index, doc = windows(per)
             logit = np.concatenate([self.forward(index[k : k + 4096], vec) for k in range(0, len(index), 4096)])
             best = np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(j - i)))
@@ -265,6 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
     rows = common.bounded_sample(pool, "doc_id", "toxic", per_class, MAX_CHARS).collect()
     net = Network()
     net.fit([r["text"] for r in rows], np.array([int(r["toxic"]) for r in rows]))
+    del rows
+    common.give_back()
     return net
 
 

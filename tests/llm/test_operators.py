@@ -404,7 +404,7 @@ def test_toxicity_held_out():
 def test_toxicity_gradients():
     net = toxicity.Network(3)
     index = np.array([[0, 1, 2, -1], [3, -1, -1, -1]])
-    vec = np.random.default_rng(0).standard_normal((5, 2 * (toxicity.DIMS + 1))).astype(np.float32)
+    vec = np.random.default_rng(0).standard_normal((5, toxicity.INPUTS)).astype(np.float32)
     logit, saved = net.forward(index, vec, keep=True)
     g, d_vec = net.backward(index, vec, saved, np.ones(2, np.float32))
     for name in ("att", "out", "wf", "ub", "cb"):
