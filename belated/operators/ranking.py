@@ -1,5 +1,6 @@
-"""Ranking metrics.  Ties: score descending, id ascending.  Scores are grouped by
-value before any running sum, so one partition sees distinct scores, not rows."""
+"""Ranking metrics.  Ties: score descending, id ascending; rows without a score are
+left out.  Scores are grouped by value before any running sum, and running sums
+are dealt to ranges of scores."""
 
 from __future__ import annotations
 
@@ -7,12 +8,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores that running sums are dealt to.
+RANGES = 256
+
+
+def running(g: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+    """g (by, score, ...), one row a group and score, with the sums ``cum_<c>`` of
+    each column down to the score.  Scores are dealt to ranges by quantiles of them
+    (one broadcast row of ``RANGES`` numbers); sums run inside a range, and the
+    totals of the ranges above, one row a group and range, are joined back, so no
+    task sees all scores of a large group."""
+    edges = g.agg(F.percentile_approx("score", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), F.lit(10_000)).alias("_edges"))
+    placed = g.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e > F.col("score")))).drop("_edges")
+    inside = Window.partitionBy(*by, "_range").orderBy(F.desc("score"))
+    placed = placed.select("*", *(F.sum(c).over(inside).alias(f"_in_{c}") for c in sums))
+    totals = g.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e > F.col("score")))).groupBy(*by, "_range").agg(*(F.sum(c).alias(c) for c in sums))
+    above = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_up_{c}") for c in sums))
+    out = placed.join(offsets, [*by, "_range"])
+    return out.select(*g.columns, *((F.col(f"_in_{c}") + F.col(f"_up_{c}")).alias(f"cum_{c}") for c in sums))
+
+
 def _curve(df: DataFrame, by: list[str]) -> DataFrame:
     """By group and distinct score: cumulative hits and rows, and totals."""
+    df = df.filter("score is not null")
     g = df.groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")) if by else Window.orderBy(F.desc("score"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy()
-    return g.select(*by, "score", "pos", "n", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.sum("pos").over(whole).alias("p"), F.sum("n").over(whole).alias("total"), F.count("*").over(whole).alias("distinct_scores"))
+    totals = g.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("n").alias("total"), F.count("*").alias("distinct_scores"))
+    run = running(g, by, ["pos", "n"])
+    both = run.join(totals, by) if by else run.crossJoin(F.broadcast(totals))
+    return both.select(*by, "score", "pos", "n", F.col("cum_pos").alias("tp"), F.col("cum_n").alias("k"), "p", "total", "distinct_scores")
 
 
 def average_precision(df: DataFrame, by: list[str], guard: bool = True) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, labels, learners, networks, prepare, ranking
@@ -67,8 +66,7 @@ def top_rank_policy(spark, sf):
     by distinct score."""
     s = roles.scores(spark, sf, tied=True)
     g = s.groupBy("score").agg(F.count("*").alias("n"))
-    above = F.sum("n").over(Window.orderBy(F.desc("score")))
-    ranks = g.select("score", F.round(above - (F.col("n") - 1) / 2.0, 2).alias("rank"))
+    ranks = ranking.running(g, [], ["n"]).select("score", F.round(F.col("cum_n") - (F.col("n") - 1) / 2.0, 2).alias("rank"))
     return s.join(ranks, "score").select("id", "rank", (F.col("rank") <= 100).cast("int").alias("policy"))
 
 

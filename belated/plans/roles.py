@@ -33,10 +33,10 @@ def rich_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Edges with attributes of the citing side."""
     who = table(spark, sf, "orders").select(F.col("o_orderkey").alias("citing"), F.col("o_custkey").alias("c_custkey")).join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey")
     cited = table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("p_size") % 5 + 1).cast("int")).alias("cited_class"))
-    n = table(spark, sf, "supplier").count()
-    e = edges(spark, sf).join(who, "citing", "left").join(cited, "entity_id", "left")
+    parties = table(spark, sf, "supplier").agg(F.count("*").alias("parties"))  # one row
+    e = edges(spark, sf).join(who, "citing", "left").join(cited, "entity_id", "left").crossJoin(F.broadcast(parties))
     known = F.coalesce("c_mktsegment", F.lit("UNK"))
-    return e.select("entity_id", "age", "category", known.alias("citing_class"), F.col("supplier").alias("citing_assignee"), F.col("c_nationkey").alias("citing_location"), ((known != F.col("cited_class")) & (known != "UNK")).alias("cross"), (F.col("supplier") == F.col("entity_id") % n).alias("same_assignee"))
+    return e.select("entity_id", "age", "category", known.alias("citing_class"), F.col("supplier").alias("citing_assignee"), F.col("c_nationkey").alias("citing_location"), ((known != F.col("cited_class")) & (known != "UNK")).alias("cross"), (F.col("supplier") == F.col("entity_id") % F.col("parties")).alias("same_assignee"))
 
 
 def registrations(spark: SparkSession, sf: str) -> DataFrame:
