@@ -33,7 +33,7 @@ from . import common, kernels
 PER_CLASS, SPARE, MAX_CHARS, WINDOW, STRIDE, THRESHOLD = 800, 3, 4000, 32, 16, 0.7
 WORD_SLOTS, GRAM_SLOTS, DIMS, HIDDEN, ROUNDS = 1 << 16, 1 << 16, 3, 6, 12
 BLOCK, LEAST_STEPS = 1 << 19, 800
-POSITIVE = 0.25  # share of the loss that toxic documents have
+POSITIVE = 0.5  # share of the loss that toxic documents have
 EMBED = 1.0  # rate of the embeddings, in steps of the other parameters
 INPUTS = 2 * (DIMS + 1) + 1
 

@@ -1,7 +1,8 @@
 """Corpus pipeline: language, toxicity, near-duplicates, repeated passages, packing.
 
 Each stage reads what the one before kept, as a Parquet table in the shared
-folder; all but the last return the columns of ``documents``.
+folder; all but the last return the columns of ``documents``.  A stage's table is
+removed when the next one's is written.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ STAGES = [
 ]
 
 #: Classifiers, similarity joins and tokenizers are not SQL; the stages are
-#: tested against brute force in tests/llm.
+#: tested, one by one and together, in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.stage(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        spent, docs = docs, common.stage(stage(spark, docs, sf_dir), name)
+        if k:
+            common.free(spent)
     return STAGES[-1][1](spark, docs, sf_dir)
