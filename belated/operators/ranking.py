@@ -61,8 +61,9 @@ def recall_at_precision(df: DataFrame, by: list[str], least: float = 0.05) -> Da
     return c.groupBy(*by).agg(F.coalesce(F.max(ok), F.lit(0.0)).alias("recall_at_precision"))
 
 
-def top_k(df: DataFrame, by: list[str], ks: list[int]) -> DataFrame:
-    """hits, precision, recall and lift at each k.  Only the largest k rows of a
+def top_k(df: DataFrame, by: list[str], ks: list[int], plain: bool = False) -> DataFrame:
+    """hits, precision (of the rows there are; ``plain``: of k), recall and lift at
+    each k.  Only the largest k rows of a
     group are ranked: a limit pushed below the window."""
     w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.desc("score"), F.asc("id"))
     ranked = df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max(ks))
@@ -70,7 +71,7 @@ def top_k(df: DataFrame, by: list[str], ks: list[int]) -> DataFrame:
     hits = ranked.groupBy(*by).agg(*(F.sum(F.when(F.col("rn") <= k, F.col("y")).otherwise(0)).alias(f"h{k}") for k in ks))
     both = base.join(hits, by) if by else base.crossJoin(hits)
     long_ = both.select(*by, "n", "p", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("hits")) for k in ks))).alias("x")).select(*by, "n", "p", "x.*")
-    prec = F.col("hits") / F.least("k", "n")
+    prec = F.col("hits") / (F.col("k") if plain else F.least("k", "n"))
     return long_.select(*by, "k", "hits", prec.alias("precision"), (F.col("hits") / F.nullif(F.col("p"), F.lit(0))).alias("recall"), (prec / F.nullif(F.col("p") / F.col("n"), F.lit(0))).alias("lift"))
 
 

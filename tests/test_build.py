@@ -128,3 +128,17 @@ def test_density_and_distances_in_blocks(spark):
     assert one == pytest.approx(cut) and len(one) == 150
     whole, parts = ({r["id"]: tuple(r)[1:] for r in vectors.class_distances(df, 8, most=m).collect()} for m in (100, 1))
     assert whole.keys() == parts.keys() and all(whole[k] == pytest.approx(parts[k]) for k in whole)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from belated import __main__ as cli
+
+    cli.main(["list"])
+    assert "model_table (SQL)" in capsys.readouterr().out
+    data = "/root/testdata/sf0.001"
+    cli.main(["run", "cohort", "fold_diagnostics", "--data", data, "--out", str(tmp_path), "--csv"])
+    first = {p: p.stat().st_mtime_ns for p in (tmp_path / "cohort").iterdir()}
+    cli.main(["run", "cohort", "--data", data, "--out", str(tmp_path)])
+    assert first == {p: p.stat().st_mtime_ns for p in (tmp_path / "cohort").iterdir()}
+    assert spark.read.csv(f"{tmp_path}/fold_diagnostics.csv", header=True).count() == spark.read.parquet(f"{tmp_path}/fold_diagnostics").count() > 0
+    assert set(cli.BUILD) <= set(cli.QUERIES)
