@@ -27,16 +27,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: A random word for each byte value, so that runs of equal bytes hash well.
 BYTE = mix(np.arange(1, 257, dtype=U64) * _ODD)
 _P, _INV = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+
+
+class _Powers:
+    """Powers of the polynomial's base and of its inverse, as many as were needed so
+    far; shipped to executors without them."""
+
+    def __init__(self):
+        self.tables = [np.ones(1, U64), np.ones(1, U64)]
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_powers = _Powers()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
+    tables = _powers.tables
+    if len(tables[0]) < n:
         for k, base in enumerate((_P, _INV)):
             p = np.full(n, base, U64)
             p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+            tables[k] = np.multiply.accumulate(p)
+    return tables[0], tables[1]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
