@@ -446,3 +446,21 @@ def test_minhash_pairs_blocks_of_a_bucket(spark, monkeypatch):
                 root = [min(x, y) if z in (x, y) else z for z in root]
     got = {x["doc_id"]: x["group_id"] for x in minhash.near_duplicates(docs(spark, texts)).collect()}
     assert [got[k] for k in range(40)] == root
+
+
+def test_each_band_rejects(spark):
+    """Texts that pass the base rules: repetitive as a whole, incompressible as a
+    whole, with one incompressible chunk, with half of the chunks repetitive; and a
+    clean one.  Null, empty, repeated and very long rows."""
+    r = random.Random(8)
+    words = [prose(k, 1) + "lmnopqrstuvwxyz"[k % 15] + prose(k + 5000, 1) for k in range(3000)]
+    clean = " ".join(r.choice(words) for _ in range(600))
+    # each word many times on end, so that no five-word window comes back
+    stutter = " ".join(" ".join([w] * 5) for w in words[:40])
+    slow = " ".join(" ".join([words[k] + "q" * 9 + words[k + 1]] * 5) for k in range(100, 160, 2))
+    noise = " ".join("".join(chr(r.randrange(33, 127)) for _ in range(6)) for _ in range(400))
+    texts = [clean, stutter, noise, clean + " " + noise[:700], clean[:2000] + " " + slow, None, "", clean, " ".join(r.choice(words) for _ in range(60_000))]
+    got = sorted((tuple(x) for x in quality.quality(docs(spark, texts)).collect()), key=lambda x: x[0])
+    assert [x[6] for x in got] == [False] * 5 + [True] * 2 + [False] * 2
+    assert [x[7] for x in got] == [True, False, False, False, False, False, False, True, True]
+    assert quality.quality(docs(spark, [])).count() == 0
