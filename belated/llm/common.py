@@ -141,16 +141,18 @@ def is_held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: str, by: str, per_class: int, max_chars: int) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, by: str, per_class: int | dict, max_chars: int) -> DataFrame:
     """At most about ``per_class`` rows of each value of ``by`` (all, where there
-    are fewer), the choice depending on a hash of ``key`` alone.  Texts of more
-    than ``max_chars`` code points are not used for fitting.  The bound holds in
-    expectation per class and exactly, by a final limit, for the whole."""
+    are fewer; a dict has a number for each value), the choice depending on a hash of
+    ``key`` alone.  Texts of more than ``max_chars`` code points are not used for
+    fitting.  The bound holds in expectation per class and exactly, by a final
+    limit, for the whole."""
     df = df.filter(F.col(by).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    most = {value: per_class.get(value, 0) if isinstance(per_class, dict) else per_class for value in counts}
     mark = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.lit(0.0)
     for value, n in sorted(counts.items(), key=str):
-        rate = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(rate)
-    cap = int(per_class * max(1, len(counts)) * 1.25) + 64
+        rate = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, most[value] / n))).otherwise(rate)
+    cap = int(sum(most.values()) * 1.25) + 64
     return df.filter(mark < rate).orderBy(F.xxhash64(F.lit("sample"), F.col(key)), key).limit(cap)

@@ -16,8 +16,8 @@ window.
 Labels belong to documents, so fitting is multiple-instance learning: a toxic
 document teaches by its worst window, a clean one by its worst and a random one,
 chosen anew each round.  Fitted in numpy (Adam) on a bounded sample: at most
-``PER_CLASS`` labelled documents of each class, of at most ``MAX_CHARS`` code
-points.  Null and empty texts have one empty window.  Without labels of both
+about ``PER_CLASS`` labelled toxic documents and ``CLEAN`` times as many clean
+ones, of at most ``MAX_CHARS`` code points.  Null and empty texts have one empty window.  Without labels of both
 classes every score is 0.
 """
 
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 
 from . import common, kernels
 
-PER_CLASS, SPARE, MAX_CHARS, WINDOW, STRIDE, THRESHOLD = 800, 3, 4000, 32, 16, 0.7
+PER_CLASS, CLEAN, SPARE, MAX_CHARS, WINDOW, STRIDE, THRESHOLD = 800, 2, 3, 4000, 32, 16, 0.7
 WORD_SLOTS, GRAM_SLOTS, DIMS, HIDDEN, ROUNDS = 1 << 16, 1 << 16, 3, 6, 12
 BLOCK, LEAST_STEPS = 1 << 19, 800
+SHRINK = 6.0  # documents that a slot needs for half of its log odds
 POSITIVE = 0.5  # share of the loss that toxic documents have
 EMBED = 1.0  # rate of the embeddings, in steps of the other parameters
 INPUTS = 2 * (DIMS + 1) + 1
@@ -43,7 +44,7 @@ def read(data: np.ndarray, offsets: np.ndarray):
     the number of its grams, and slots of word starts of eight characters.  The text is lower case; edge punctuation is dropped from words."""
     x = _FOLD[data]
     starts, ends, per = kernels.words(x, offsets)
-    word = (kernels.span_hash(kernels.prefix_hash(x), starts, ends) & np.uint64(WORD_SLOTS - 1)).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+    word = (kernels.span_hash(kernels.prefix_hash(x), starts, ends) & np.uint64(WORD_SLOTS - 1)).astype(np.uint16) if len(starts) else np.zeros(0, np.uint16)
     # grams over the squeezed words with a blank at each side
     size = ends - starts + 2
     first = np.concatenate(([0], np.cumsum(size)))
@@ -58,7 +59,7 @@ def read(data: np.ndarray, offsets: np.ndarray):
 
     def slot(x):
         x = x ^ (x >> np.uint32(15))
-        return ((x * np.uint32(0x2C1B3C6D)) >> np.uint32(16)).astype(np.int64)
+        return ((x * np.uint32(0x2C1B3C6D)) >> np.uint32(16)).astype(np.uint16)
 
     # a word's grams start and end in it (its size - 4), or there is one that runs on
     return word, per, slot(h), first[:-1], np.maximum(size - 4, 1), slot(far[first[:-1]])
@@ -70,6 +71,11 @@ for _c in range(128):
         _FOLD[_c] = 0x20
 
 
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``count`` of them."""
+    return (np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))).astype(np.int32)
+
+
 def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -98,8 +104,8 @@ class Network:
         odds = [self.word_odds, self.gram_odds, self.start_odds] if own is None else self.others
         out = np.zeros((len(word) + 1, INPUTS), np.float32)
         if len(word):
-            n = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            g, cut = gram[n], np.cumsum(count) - count
+            cut = np.cumsum(count) - count
+            g = gram[_runs(first, count)]
             out[:-1, :DIMS] = self.p["word"][word]
             pick = (lambda table, slot, by=None: table[slot]) if own is None else (lambda table, slot, by=own: table[by, slot])
             out[:-1, DIMS] = pick(odds[0], word)
@@ -183,19 +189,20 @@ class Network:
         word, per, gram, first, count, start = read(data, offsets)
         row = np.repeat(np.arange(len(y)), per)
         # smoothed log odds by documents: in how many toxic and clean ones a slot occurs
-        n = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         own = toxic.astype(np.int64)[row]
 
         def odds(pos, all_):
             p1, p0 = (pos + 1.0) / (y.sum() + 2), (all_ - pos + 1.0) / ((1 - y).sum() + 2)
-            return np.clip(np.log(p1 / p0) * (all_ / (all_ + 6.0)), -2, 4).astype(np.float32)
+            return np.clip(np.log(p1 / p0) * (all_ / (all_ + SHRINK)), -2, 4).astype(np.float32)
 
         self.others = []
-        for name, slot, of in (("word_odds", word, row), ("gram_odds", gram[n], np.repeat(row, count)), ("start_odds", start, row)):
-            slots = len(getattr(self, name))
-            pair = np.unique(slot * len(y) + of)
-            s, d = pair // len(y), pair % len(y)
-            pos, all_ = np.bincount(s, y[d], slots), np.bincount(s, minlength=slots)
+        for name, slot, of in (("word_odds", word, row), ("gram_odds", gram[_runs(first, count)], np.repeat(row, count)), ("start_odds", start, row)):
+            pos, all_ = (np.zeros(len(getattr(self, name)), np.int64) for _ in range(2))
+            edge = np.searchsorted(of, np.arange(len(y) + 1))
+            for a, b, mark in zip(edge[:-1].tolist(), edge[1:].tolist(), y.tolist(), strict=True):
+                s = np.unique(slot[a:b])
+                all_[s] += 1
+                pos[s] += int(mark)
             setattr(self, name, odds(pos, all_))
             # without the document itself: a clean one, a toxic one
             rest = np.maximum(all_ - 1, 0)
@@ -237,8 +244,7 @@ class Network:
                 self._adam(g, moments, step, rate)
                 np.add.at(self.p["word"], word[ids], -EMBED * rate * d_vec[:-1, :DIMS])
                 c, f = count[ids], first[ids]
-                m = np.repeat(f, c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                np.add.at(self.p["gram"], gram[m], -EMBED * rate * np.repeat(d_vec[:-1, DIMS + 1 : -2] / c[:, None], c, axis=0))
+                np.add.at(self.p["gram"], gram[_runs(f, c)], -EMBED * rate * np.repeat(d_vec[:-1, DIMS + 1 : -2] / c[:, None], c, axis=0))
         del self.others
         self.fitted = True
 
@@ -250,20 +256,23 @@ class Network:
             s += 0.001 * (v * v - s)
             self.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def score(self, column: pa.Array) -> np.ndarray:
+    def logits(self, column: pa.Array) -> np.ndarray:
+        """That of each text's worst window."""
         out = np.zeros(len(column))
-        if not self.fitted:
-            return out
         data, offsets = kernels.utf8(column, lower=True)
         for i, j, part, at in kernels.blocks(data, offsets, BLOCK):
             word, per, gram, first, count, start = read(part, at)
             vec = self.vectors(word, gram, first, count, start)
             index, doc = windows(per)
             logit = np.concatenate([self.forward(index[k : k + 4096], vec) for k in range(0, len(index), 4096)])
-            best = np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(j - i)))
-            out[i:j] = _sigmoid(best.astype(np.float64))
+            out[i:j] = np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(j - i)))
         return out
 
+    def score(self, column: pa.Array) -> np.ndarray:
+        if not self.fitted:
+            return np.zeros(len(column))
+        return _sigmoid(self.logits(column))
+
 
 def windows(per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers (-1: none) of the overlapping windows of rows of ``per`` words,
@@ -277,15 +286,16 @@ def windows(per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
-    """Learn from at most about ``per_class`` labelled documents of each class outside
-    the held-out fold.  Ids are drawn from the labels first, ``SPARE`` times as many
+    """Learn from at most about ``per_class`` toxic documents outside the held-out fold
+    and ``CLEAN`` times as many clean ones.  Ids are drawn from the labels first, ``SPARE`` times as many
     for those that have no document or a long one; they are bounded by a limit, so
     they are broadcast and no text is shuffled."""
-    marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     order = (F.xxhash64(F.lit("sample"), F.col("doc_id")), "doc_id")
-    ids = [marked.filter(which).orderBy(*order).limit(SPARE * per_class) for which in (F.col("toxic") > 0, F.col("toxic") <= 0)]
+    most = {1: per_class, 0: CLEAN * per_class}
+    ids = [marked.filter(F.col("toxic") == value).orderBy(*order).limit(SPARE * n) for value, n in most.items()]
     pool = docs.select("doc_id", "text").join(F.broadcast(common.stage(ids[0].unionByName(ids[1]), "drawn")), "doc_id")
-    rows = common.bounded_sample(pool, "doc_id", "toxic", per_class, MAX_CHARS).collect()
+    rows = common.bounded_sample(pool, "doc_id", "toxic", most, MAX_CHARS).collect()
     net = Network()
     net.fit([r["text"] for r in rows], np.array([int(r["toxic"]) for r in rows]))
     del rows

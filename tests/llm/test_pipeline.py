@@ -26,6 +26,11 @@ def frame(spark, texts):
     return spark.createDataFrame(rows(texts), SCHEMA)
 
 
+@pytest.fixture(autouse=True)
+def short_fits(monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 200)
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     """Learnable languages and toxicity, copies, near copies, shared passages, and a
