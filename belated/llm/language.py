@@ -63,7 +63,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.n
 
 
 def frequencies(texts: list[str]) -> np.ndarray:
-    rows = []
+    rows = np.empty((len(texts), DIMS), np.float32)
     data, offsets = kernels.utf8(pa.array(texts, pa.large_string()), lower=True)
     for i, j, part, at in kernels.blocks(data, offsets, MAX_FIT_BYTES):
         found, where, count = grams(part, at)
@@ -71,26 +71,27 @@ def frequencies(texts: list[str]) -> np.ndarray:
         row = np.repeat(np.arange(j - i), np.diff(where))
         for g in found:
             m += np.bincount(row * (DIMS + 1) + g, minlength=m.size).reshape(m.shape)
-        rows.append(m[:, :DIMS] / np.maximum(count, 1)[:, None])
-    return np.concatenate(rows).astype(np.float32)
+        rows[i:j] = m[:, :DIMS] / np.maximum(count, 1)[:, None]
+    return rows
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 150) -> tuple[np.ndarray, float]:
     """min |w|²/2 + c/n · Σ a · max(0, 1 - y(wx + b))², classes weighted alike, by
     accelerated gradient descent; y is +1 or -1."""
     a = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    v = np.ones(x1.shape[1], np.float32)
+    v, b = np.ones(x.shape[1], np.float32), np.float32(1)  # the bias is one more input, always 1
     for _ in range(12):
-        v = x1.T @ (x1 @ v)
-        norm = float(np.linalg.norm(v))
+        m = x @ v + b
+        v, b = x.T @ m, m.sum()
+        norm = float(np.sqrt(v @ v + b * b))
         v /= norm
+        b /= norm
     step = 1.0 / (1e-3 + 2 * c * float(a.max()) * norm / len(y) * 1.05)
-    w = np.zeros(x1.shape[1], np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     z, t = w.copy(), 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x1 @ z))
-        g = 1e-3 * z - (2 * c / len(y)) * (x1.T @ (a * y * slack).astype(np.float32))
+        r = (a * y * np.maximum(0, 1 - y * (x @ z[:-1] + z[-1]))).astype(np.float32)
+        g = 1e-3 * z - (2 * c / len(y)) * np.append(x.T @ r, r.sum())
         new = z - step * g
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z = new + ((t - 1) / t_new) * (new - w)
@@ -146,9 +147,11 @@ class LanguageModel:
             of = family if f is None else np.where(family == f, member, -1)
             use = (of == a) | (of == b)
             y = np.where(of[use] == a, 1.0, -1.0)
-            w, bias = linear_svm(x[use], y)
+            mine = x if use.all() else x[use]
+            w, bias = linear_svm(mine, y)
             self.w[:DIMS, k], self.b[k] = w * scale, bias
-            self.curve[k] = platt(x[use] @ w + bias, y)
+            self.curve[k] = platt(mine @ w + bias, y)
+            del mine
 
     def margins(self, column: pa.Array) -> np.ndarray:
         data, offsets = kernels.utf8(column, lower=True)
