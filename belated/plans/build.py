@@ -39,9 +39,9 @@ def coerced(spark, sf):
 
 _STATIC = f"""{_COHORT},
 cls AS (SELECT entity_id, coalesce(section, '') AS section, coalesce(section, '') || coalesce(class, '') AS class_full FROM par
-        QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY sequence ASC NULLS LAST, party, section, class) = 1),
+        QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY sequence ASC NULLS LAST, party, section, class NULLS FIRST) = 1),
 asg AS (SELECT entity_id, CAST(party_type IS NOT NULL AS INT) AS is_organization, CAST(coalesce(party_type IN (2), false) AS INT) AS is_domestic, CAST(coalesce(party_type IN (3, 9), false) AS INT) AS is_foreign, CAST(coalesce(party_type IN (1), false) AS INT) AS is_individual
-        FROM par WHERE sequence = 0 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY party, quantity, section, class) = 1),
+        FROM par WHERE sequence = 0 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY party, quantity, section, class NULLS FIRST) = 1),
 inv AS (SELECT entity_id, count(DISTINCT party) AS inventor_count FROM par WHERE quantity > 20 GROUP BY ALL),
 bwd AS (SELECT entity_id, count(*) AS bwd_own, count(*) FILTER (section = 'A') AS bwd_examiner, count(*) FILTER (section = 'R') AS bwd_applicant FROM par WHERE quantity > 10 GROUP BY ALL),
 frn AS (SELECT entity_id, count(*) AS bwd_foreign FROM par WHERE class IS NULL GROUP BY ALL),
