@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import gc
 import tempfile
 import uuid
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import give_back
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
@@ -104,16 +105,6 @@ def free(*staged: DataFrame) -> None:
         _remove_folders(gone)
 
 
-def give_back() -> None:
-    """Return the driver's freed memory to the system after a fit."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Rows of an Arrow batch: 2000, where the session still has Spark's default,
     so that a Python worker holds some megabytes of text at a time."""
@@ -132,6 +123,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                     yield out
                 elif out is not None:
                     yield from out
+        give_back(False)
 
     return df.mapInArrow(run, schema)
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, kernels
+from .memory import give_back
 
 SIZE, END_ID, CACHE_WORDS, BUCKETS = 4096, 1, 700_000, 64
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|]*)")
@@ -133,13 +134,13 @@ class WordIds:
     The tokenizer never joins characters across white space, so the ids of a text
     are those of its words in a row.  Words of Latin letters, with or without
     punctuation behind them, go through ``MergeTable`` together; all others
-    through the tokenizer.  Holds ``CACHE_WORDS`` words at most."""
+    through the tokenizer.  Holds ``most`` words at most."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.cache = kernels.SpanCache(self._learn, CACHE_WORDS)
+        self.cache = kernels.SpanCache(self._learn, most)
         self.tokenizer, self.merges = Tokenizer.from_file(path), MergeTable(path)
         self.marks: dict[str, bytes] = {"": b""}
 
@@ -168,16 +169,18 @@ class WordIds:
         return ids, begin[np.concatenate(([0], np.cumsum(per)))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each piece."""
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, block: int = 2 * kernels.BLOCK_BYTES) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of each piece.  Words that a worker
+    keeps and bytes that it handles at once bound its memory and change no result."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        ids = WordIds(tokenizer)
+        ids = WordIds(tokenizer, cache_words)
+        give_back()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             docs_, (data, offsets) = batch.column(0).to_pylist(), kernels.utf8(batch.column(1))
-            for i, j, part, at in kernels.blocks(data, offsets, 2 * kernels.BLOCK_BYTES):
+            for i, j, part, at in kernels.blocks(data, offsets, block):
                 found, begin = ids.encode(part, at)
                 raw, begin = found.tobytes(), (4 * begin).tolist()
                 for k in range(i, j):
@@ -187,6 +190,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
                         for col, v in zip(rows, (docs_[k], n, a // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        del ids
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -305,8 +310,8 @@ def pack(parts: DataFrame, size: int = SIZE, buckets: int = BUCKETS) -> DataFram
     return common.arrow_map(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> DataFrame:
-    return pack(common.stage(pieces(docs, tokenizer or default_tokenizer(), size), "pieces"), size)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, **bounds) -> DataFrame:
+    return pack(common.stage(pieces(docs, tokenizer or default_tokenizer(), size, **bounds), "pieces"), size)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,4 +319,6 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+    """Pipeline stage.  Executors still hold what the stages before needed, so
+    workers keep fewer words."""
+    return pack_documents(docs, cache_words=200_000, block=kernels.BLOCK_BYTES // 2)
