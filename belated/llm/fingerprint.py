@@ -160,7 +160,7 @@ def _compared(rows: DataFrame, id_col: str) -> DataFrame:
     flat = flat.withColumn("sub", sub_table(F.col("d"), F.col("bits")))
     # own is a key and not an aggregate, which keeps the aggregation in generated code
     tables = flat.groupBy(*keys, "kind", "side", "bits", "sub", "own").agg(*cells(F.col("d")))
-    line = F.when(F.col("kind") == 0, F.struct("sub", F.concat_ws(",", F.transform(F.array(*ALL_CELLS), lambda v: F.hex(v))).alias("s")))
+    line = F.when(F.col("kind") == 0, F.struct("sub", F.array(*ALL_CELLS).alias("s")))
     tables = tables.select(*keys, "kind", "side", "bits", "sub", "own", line.alias("line"), F.when(F.col("kind").isin(1, 2), peel()).alias("d"))
 
     def differing(kind):
@@ -173,33 +173,35 @@ def _compared(rows: DataFrame, id_col: str) -> DataFrame:
         differing(1), differing(2),
         F.collect_list(F.when(F.col("d") < 0, F.struct("kind", "bits", "sub"))).alias("open"))
 
-    def text_of(side, lines):
-        return F.concat(F.size(side).cast("string"), F.lit(";"), F.concat_ws(";", F.transform(F.array_sort(lines), lambda x: F.concat(x["sub"].cast("string"), F.lit(":"), x["s"]))))
+    def text_of(count, lines):
+        text = F.transform(F.array_sort(lines), lambda x: F.concat(x["sub"].cast("string"), F.lit(":"), F.concat_ws(",", F.transform(x["s"], lambda v: F.hex(v)))))
+        return F.concat(F.col(count).cast("string"), F.lit(";"), F.concat_ws(";", text))
+
+    def still(f):
+        """A sub-table that did not peel, with the digests of both sides."""
+        own = {c: F.filter(F.col(f"own.{c}"), lambda d: sub_table(d, f["bits"]) == f["sub"]) for c in "oex"}
+        return F.struct(f["kind"].alias("kind"), f["sub"].alias("sub"), F.concat(own["o"], F.when(f["kind"] == 1, own["e"]).otherwise(own["x"])).alias("ds"))
 
     counts = {f"n{k}": F.size(f"own.{k}").cast("long") for k in "oex"}
-    kept = F.when(F.size("open") > 0, F.struct("own.o", "own.e", "own.x")).alias("ds")
-    judged = common.stage(per.select(*keys, "own.n_chars", F.col("own.sha").alias("edited_sha256"), text_of(F.col("own.o"), F.col("fo")).alias("fingerprint"), text_of(F.col("own.e"), F.col("fe")).alias("edited_fingerprint"), "d1", "d2", *(v.alias(k) for k, v in counts.items()), "open", kept), "judged")
-    more = _again(judged.filter(F.size("open") > 0).select("row", "ds", F.explode("open").alias("f")))
+    judged = common.stage(per.select(*keys, "own.n_chars", F.col("own.sha").alias("edited_sha256"), "fo", "fe", "d1", "d2", *(v.alias(k) for k, v in counts.items()), F.transform("open", still).alias("open")), "judged")
+    more = _again(judged.select("row", F.explode("open").alias("f")).select("row", "f.*"))
     more = more.groupBy("row").agg(*(F.sum(F.when(F.col("kind") == k, F.col("d"))).alias(f"m{k}") for k in (1, 2)))
-    done = judged.drop("open", "ds").join(more, "row", "left")
+    # only documents with such sub-tables are joined to what these gave
+    peeled = judged.filter(F.size("open") == 0).withColumns({m: F.lit(None).cast("long") for m in ("m1", "m2")})
+    done = peeled.unionByName(judged.filter(F.size("open") > 0).join(more, "row", "left"))
 
     def likeness(n1, n2, d, m):
         d = (F.col(d) + F.coalesce(F.col(m), F.lit(0))).cast("double")
         return F.when(F.col(n1) + F.col(n2) == 0, 1.0).otherwise((F.col(n1) + F.col(n2) - d) / (F.col(n1) + F.col(n2) + d))
 
-    return done.select(F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("no", "ne", "d1", "m1").alias("near_edited"), likeness("no", "nx", "d2", "m2").alias("near_next"))
+    return done.select(F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", text_of("no", F.col("fo")).alias("fingerprint"), text_of("ne", F.col("fe")).alias("edited_fingerprint"), likeness("no", "ne", "d1", "m1").alias("near_edited"), likeness("no", "nx", "d2", "m2").alias("near_next"))
 
 
 def _again(failed: DataFrame) -> DataFrame:
-    """failed: row, ds (digests o, e, x), f (kind, bits, sub) of each sub-table that
+    """failed: row, kind, sub and ds (the digests of both sides) of each sub-table that
     did not peel; (row, kind, d) with the number of its differing digests.
     Each attempt doubles the cells and takes places from another hash."""
-
-    def of(c):
-        return F.filter(F.col(f"ds.{c}"), lambda d: sub_table(d, F.col("f.bits")) == F.col("f.sub"))
-
-    both = F.concat(of("o"), F.when(F.col("f.kind") == 1, of("e")).otherwise(of("x")))
-    open_ = common.stage(failed.select("row", "f.kind", "f.sub", both.alias("ds")), "open")
+    open_ = common.stage(failed, "open")
     key, found, attempt = ["row", "kind", "sub"], [], 0
     while True:
         attempt += 1
@@ -211,7 +213,9 @@ def _again(failed: DataFrame) -> DataFrame:
         stuck = tried.filter("least < 0").select(*key)
         if not stuck.head(1):
             break
-        open_ = common.stage(open_.join(stuck, key, "left_semi"), "open")
+        spent, open_ = open_, common.stage(open_.join(stuck, key, "left_semi"), "open")
+        common.free(spent)
+    common.free(open_)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -314,7 +314,7 @@ def test_sub_tables_peel_again(spark):
     df = spark.createDataFrame(rows, "row long, n int, p array<string>, q array<string>")
     o, e = (fingerprint.F.transform(c, lambda p: fingerprint.digests(p)[0]) for c in "pq")
     F = fingerprint.F
-    failed = df.select("row", F.struct(o.alias("o"), e.alias("e"), e.alias("x")).alias("ds"), F.struct(F.lit(1).alias("kind"), F.lit(0).alias("bits"), F.lit(0).cast("long").alias("sub")).alias("f"))
+    failed = df.select("row", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("sub"), F.concat(o, e).alias("ds"))
     got = {x["row"]: x["d"] for x in fingerprint._again(failed).collect()}
     assert got == {x[0]: x[1] for x in rows}
 
