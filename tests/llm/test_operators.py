@@ -427,6 +427,39 @@ def test_minhash_repeated_ids_and_short_blocks(spark):
     assert alone.column(4)[0] == beside.column(4)[0]
 
 
+def test_minhash_leaves_texts_where_they_are(spark):
+    """Of documents that share a bucket with none no text is shuffled, however small a
+    table must be to be broadcast."""
+    texts = [prose(1000 + k, 3000) for k in range(200)]
+    texts.append(texts[0] + " x")
+    sc, threshold = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(k) for k in range(stages.size()))}
+
+    before, usual = written(), spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        got = {x["doc_id"]: x["group_id"] for x in minhash.near_duplicates(docs(spark, texts)).collect()}
+    finally:
+        spark.conf.set(threshold, usual)
+    assert got == {**{k: k for k in range(200)}, 200: 0}
+    assert sum(n for key, n in written().items() if key not in before) < sum(map(len, texts)) / 4
+
+
+def test_bitmaps_lose_no_id(spark, monkeypatch):
+    rows = spark.range(0, 3000).selectExpr("id", "cast(id as string) c")
+    ids = spark.range(0, 3000, 7)
+    for words in (1, 4, minhash.WORDS):
+        monkeypatch.setattr(minhash, "WORDS", words)
+        got = minhash._likely(rows.unionByName(rows), ids)
+        assert got.columns == rows.columns
+        assert got.join(ids, "id").count() == 2 * ids.count()
+    assert got.count() < 2 * ids.count() + 20
+
+
 def test_minhash_pairs_blocks_of_a_bucket(spark, monkeypatch):
     """A family whose members are alike, most of them just under the limit."""
     monkeypatch.setattr(minhash, "BUCKET_BLOCK", 4)
