@@ -61,15 +61,28 @@ WEIGHTS = {f"weight_{x}": {"cfg": replace(Config(), positive_weight=float(x))} f
 BACKUPS = {x: {"kind": x} for x in ("clip", "no_clip", "softplus", "reward_shaping")}
 
 
+def _values(data: DataFrame, trees: int):
+    """x -> Q: boosted trees fitted on the training fold; data: fold, x, target,
+    weight."""
+    from pyspark.ml.regression import GBTRegressor
+
+    from . import learners
+    from . import trees as ensembles
+
+    spark, train = data.sparkSession, data.filter("fold = 'train'")
+    rows = ensembles.different(train, "target")
+    if rows:
+        model = ensembles.boosted(rows, trees, 42)
+        return lambda df: df.withColumn("prediction", ensembles.score(spark, model, F.col("x")))
+    learners.cut_lineage(data)
+    return GBTRegressor(featuresCol="x", labelCol="target", weightCol="weight", maxIter=trees, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=42).fit(train).transform
+
+
 def cascade(stages: dict[float, DataFrame], features: dict[float, list[str]], psb: DataFrame, kind: str = "clip", trees: int = 20, cfg: Config = Config()) -> DataFrame:
     """Fit Q at the last cutoff, predict all folds, back up, and so on to the
     first.  stages: entity_id, fold and features at each cutoff."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    from .learners import cut_lineage
 
-    cut_lineage(psb)
     q_next, out = None, psb
     for cutoff in sorted(stages, reverse=True):
         df = stages[cutoff].join(psb, "entity_id")
@@ -79,9 +92,9 @@ def cascade(stages: dict[float, DataFrame], features: dict[float, list[str]], ps
             alpha = 0.3 if cutoff == 7.5 else 0.1
             df = df.join(q_next, "entity_id", "left").withColumn("target", backup(kind, F.col("q_next"), cfg.costs[cutoff], F.col("psb"), alpha, cfg))
         df = df.withColumn("weight", F.when(F.col("psb") == 1, cfg.positive_weight).otherwise(1.0))
-        data = VectorAssembler(inputCols=features[cutoff], outputCol="x").transform(df)
-        model = GBTRegressor(featuresCol="x", labelCol="target", weightCol="weight", maxIter=trees, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=42).fit(data.filter("fold = 'train'"))
-        q = model.transform(data).select("entity_id", F.col("prediction").alias(f"q{str(cutoff).replace('.', '')}"))
+        assemble = VectorAssembler(inputCols=features[cutoff], outputCol="x").transform
+        predict = _values(assemble(df), trees)
+        q = predict(assemble(stages[cutoff])).select("entity_id", F.col("prediction").alias(f"q{str(cutoff).replace('.', '')}"))
         q_next = q.select("entity_id", F.col(q.columns[1]).alias("q_next"))
         out = out.join(q, "entity_id", "left")
     return out
