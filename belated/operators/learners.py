@@ -1,19 +1,25 @@
 """Learners over feature columns: trees, logistic regression, scaling, principal
-components, clusters, text vectors and minority oversampling.  All are fitted by
-MLlib on the training fold and applied to every row; nothing is collected but
-model parameters."""
+components, clusters, text vectors and minority oversampling.  All are fitted on
+the training fold and applied to every row.  Trees and logistic regression are
+fitted on its different rows with their counts (``trees``), the former by MLlib
+on all rows where there are many; the others are MLlib's, and nothing is
+collected but model parameters."""
 
 from __future__ import annotations
 
 import tempfile
 from math import ceil, sqrt
 
+import numpy as np
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import Config
+from . import trees as ensembles
 from .labels import finite
 from .vectors import cosine_distance
 
@@ -58,14 +64,33 @@ def _classifier(kind: str, train: DataFrame, trees: int, seed: int):
     raise ValueError(kind)
 
 
-def classify(data: DataFrame, kind: str, id_col: str = "entity_id", trees: int = 500, seed: int = 42) -> DataFrame:
+def classify(data: DataFrame, kind: str, id_col: str = "entity_id", trees: int = 500, seed: int = 42, rows: tuple | None = None) -> DataFrame:
     """(id, fold, y, score) of all rows; data: id, fold, x, y, weight.  A training
-    fold without both classes gives its rate of positives to all rows."""
-    train = data.filter("fold = 'train'")
-    n, positives = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    fold without both classes gives its rate of positives to all rows.  ``rows``:
+    ``ensembles.different`` of the training fold, if it is known."""
+    spark, train = data.sparkSession, data.filter("fold = 'train'")
     keep = [id_col, "fold", "y"]
+    rows = rows or ensembles.different(train, "y")
+    if rows:
+        x, y, weight, count = rows
+        n, positives = int(count.sum()), float(y @ count)
+    else:
+        n, positives = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if positives in (0, n):
         return data.select(*keep, F.lit(float(positives / n) if n else 0.0).alias("score"))
+    if rows and kind in ("forest", "boosted"):
+        model = ensembles.forest(spark, rows, trees, seed) if kind == "forest" else ensembles.boosted(rows, trees, seed, logistic=True)
+        return data.select(*keep, ensembles.score(spark, model, F.col("x"), logistic=kind == "boosted").alias("score"))
+    if rows and kind == "logistic":
+        mean = count @ x / n
+        sd = np.sqrt(count @ (x - mean) ** 2 / n)
+        x = (x - mean) / np.where(sd > 0, sd, np.inf)  # a constant feature: 0, as by StandardScaler
+        schema = StructType().add("x", VectorUDT()).add("y", "double").add("weight", "double")
+        few = spark.createDataFrame(zip(map(Vectors.dense, x), y.tolist(), (weight * count).tolist(), strict=True), schema).coalesce(1)
+        model = _classifier(kind, few, trees, seed).fit(few)
+        by = model.coefficients.toArray() / np.where(sd > 0, sd, np.inf)
+        margin = F.aggregate(F.zip_with(vector_to_array("x"), F.array(*map(F.lit, by.tolist())), lambda a, b: a * b), F.lit(model.intercept - float(by @ mean)), lambda s, v: s + v)
+        return data.select(*keep, (1 / (1 + F.exp(-margin))).alias("score"))
     if kind == "logistic":
         data = scale(train, data)
         train = data.filter("fold = 'train'")

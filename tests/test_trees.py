@@ -53,6 +53,15 @@ def test_cascade_takes_few_jobs(spark, data):
     assert all((r["q115"] > 0) == (r["q35"] > 0) == bool(r["psb"]) for r in got)
 
 
+def test_classifiers_take_few_jobs(spark, data):
+    """Boosting took over 500 jobs here."""
+    x = learners.assemble(data, ["a", "b"])
+    rows = trees.different(x.filter("fold = 'train'"), "y")
+    for kind, most in (("boosted", 5), ("forest", 5)):
+        got, n = jobs(spark, kind, lambda kind=kind: learners.classify(x, kind, trees=80, rows=rows).collect())
+        assert n < most and min(r["score"] for r in got if r["y"]) > max(r["score"] for r in got if not r["y"])
+
+
 def test_fits_are_those_of_mllib(data, monkeypatch):
     """Equal up to the draws."""
     x = learners.assemble(data, ["a", "b"])
