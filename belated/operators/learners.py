@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -130,28 +130,76 @@ def encode(df: DataFrame, text: str = "text", dims: int = 1 << 14) -> DataFrame:
     return Normalizer(inputCol="_i", outputCol="x").transform(weighed).drop("_t", "_w", "_n", "_i")
 
 
+#: Rows of a block of positives, and of those of it that meet another block at once.
+CELL, SLICE = 8192, 512
+
+
+def nearest(points: DataFrame, k: int, cell: int = CELL) -> DataFrame:
+    """(id, near): the k other ids of least squared distance, nearest first (ties:
+    the least id).  points: id, v array<double>.  All pairs are compared, a pair of
+    blocks of about ``cell`` rows in a group of its own, which yields k ids a row;
+    products of matrices choose candidates, exact sums decide."""
+    blocks = max(1, -(-points.count() // cell))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    x, y = points.select("id", "v", block.alias("xb"), every.alias("yb")), points.select("id", "v", block.alias("yb"), every.alias("xb"))
+
+    def compare(left, right):
+        import numpy as np
+        import pandas as pd
+
+        out = [pd.DataFrame({"id": left["id"][:0], "d": np.zeros(0), "other": right["id"][:0]})]
+        if not len(left) or not len(right):
+            return out[0]
+        a, b = (np.stack(t["v"].to_numpy()).astype(float) for t in (left, right))
+        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+        size = (b * b).sum(1)
+        for lo in range(0, len(a), SLICE):
+            part = a[lo : lo + SLICE]
+            own = (part * part).sum(1)[:, None]
+            same = ids[lo : lo + SLICE, None] == others[None, :]
+            d = own + size - 2 * (part @ b.T)
+            d[same] = np.inf
+            at = min(k, d.shape[1]) - 1
+            # rounding moves a product's distance by far less than this
+            bound = np.partition(d, at, axis=1)[:, at : at + 1] + 1e-10 * (own + size.max())
+            r, c = np.nonzero(~(d > bound) & ~same)
+            step = max(k, CELL * SLICE // (4 * a.shape[1]))
+            exact = np.zeros(len(r))
+            for at in range(0, len(r), step):
+                few = slice(at, at + step)
+                for j in range(a.shape[1]):
+                    exact[few] += (part[r[few], j] - b[c[few], j]) ** 2
+            pairs = pd.DataFrame({"row": r, "id": ids[lo + r], "d": exact, "other": others[c]})
+            out.append(pairs.sort_values(["row", "d", "other"]).groupby("row").head(k)[["id", "d", "other"]])
+        return pd.concat(out[1:] or out)
+
+    kind = dict(points.dtypes)["id"]
+    best = x.groupBy("xb", "yb").cogroup(y.groupBy("xb", "yb")).applyInPandas(compare, f"id {kind}, d double, other {kind}")
+    return best.groupBy("id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k), lambda p: p["other"]).alias("near"))
+
+
 def oversample(df: DataFrame, ratio: float = 0.1, k: int = 5, seed: int = 42) -> DataFrame:
     """Rows between a positive and one of its k nearest positives, as many as
     bring positives to ``ratio`` of the negatives (in expectation); df: id, v, y.
-    Returns df's rows and the made ones, which have a null id.  Positives are
-    compared with each other, so they are expected to be rare."""
-    n = {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    have, want = n.get(1, 0), int(ratio * n.get(0, 0))
+    Returns df's rows and the made ones, which have a null id.  Positives without
+    id or vector are neither ends nor counted among those that rows start from."""
+    usable = F.col("id").isNotNull() & F.col("v").isNotNull()
+    n = {r["y"]: r for r in df.groupBy("y").agg(F.count("*").alias("n"), F.count_if(usable).alias("usable")).collect()}
+    count = lambda y, c: n[y][c] if y in n else 0
+    have, starts, want = count(1, "n"), count(1, "usable"), int(ratio * count(0, "n"))
     base = df.select("id", "v", "y")
-    if have < 2 or want <= have:
+    if starts < 2 or want <= have:
         return base
-    pos = df.filter("y = 1").select("id", "v", "y")
-    away = F.aggregate(F.zip_with("v", "u", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = pos.join(pos.select(F.col("id").alias("other"), F.col("v").alias("u"), "y"), "y").filter("id != other").withColumn("d", away)
-    near = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).filter(F.col("rn") <= k)
-    near = near.groupBy("id").agg(F.first("v").alias("v"), F.array_sort(F.collect_list(F.struct("rn", "u"))).alias("near"))
-    each = ceil((want - have) / have)
+    pos = df.filter((F.col("y") == 1) & usable).select("id", F.col("v").cast("array<double>").alias("v"))
+    each = ceil((want - have) / starts)
 
     def uniform(tag):
         return F.pmod(F.xxhash64("id", "i", F.lit(tag), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
-    made = near.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(each)))).filter(uniform("kept") < (want - have) / (each * have))
-    mate = F.element_at("near", (F.floor(uniform("mate") * F.size("near")) + 1).cast("int"))["u"]
-    made = made.withColumn("u", mate).withColumn("f", uniform("place"))
+    made = nearest(pos, k).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(each)))).filter(uniform("kept") < (want - have) / (each * starts))
+    mate = F.element_at("near", (F.floor(uniform("mate") * F.size("near")) + 1).cast("int"))
+    ends = pos.dropDuplicates(["id"])
+    made = made.select("id", mate.alias("other"), uniform("place").alias("f")).join(ends, "id").join(ends.select(F.col("id").alias("other"), F.col("v").alias("u")), "other")
     v = F.transform(F.arrays_zip("v", "u"), lambda p: p["v"] + F.col("f") * (p["u"] - p["v"]))
     return base.unionByName(made.select(F.lit(None).cast(dict(base.dtypes)["id"]).alias("id"), v.cast(dict(base.dtypes)["v"]).alias("v"), F.lit(1).cast(dict(base.dtypes)["y"]).alias("y")))

@@ -60,3 +60,22 @@ def test_network_learns(data):
     df = data.withColumn("target", -3.85 + 8.0 * F.col("psb")).withColumn("weight", F.lit(1.0))
     got = {r["entity_id"]: r["score"] for r in networks.fit_predict(df, ["a", "b"], "target", "weight", epochs=200).collect()}
     assert len(got) == 210 and all((q > 0) == (i % 7 > 4) for i, q in got.items())
+
+
+@pytest.mark.parametrize("cell", [8192, 7])
+def test_nearest_are_exact(spark, cell):
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 4, (40, 3)).astype(float)  # many ties and copies
+    got = {r["id"]: r["near"] for r in learners.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"), 5, cell).collect()}
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    assert got == {i: sorted((j for j in range(40) if j != i), key=lambda j: (d[i, j], j))[:5] for i in range(40)}
+
+
+def test_oversample_makes_no_pairs_of_rows(spark):
+    """A join of all positives with all took them as rows through one key."""
+    rows = [(i, [float(i), 0.0], int(i < 30)) for i in range(300)] + [(500, None, 1), (None, [1.0, 1.0], 1)]
+    out = learners.oversample(spark.createDataFrame(rows, "id long, v array<double>, y int"), ratio=0.5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "FlatMapCoGroupsInPandas" in plan
+    made = out.filter("id IS NULL").collect()
+    assert 70 < len(made) < 140 and all(r["v"] is not None and (r["v"][1] == 0.0 or r["v"] == [1.0, 1.0]) for r in made)
