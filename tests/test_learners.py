@@ -79,3 +79,17 @@ def test_oversample_makes_no_pairs_of_rows(spark):
     assert "Window" not in plan and "FlatMapCoGroupsInPandas" in plan
     made = out.filter("id IS NULL").collect()
     assert 70 < len(made) < 140 and all(r["v"] is not None and (r["v"][1] == 0.0 or r["v"] == [1.0, 1.0]) for r in made)
+
+
+def test_sample_is_the_least_hashes_and_no_more_is_sent(spark):
+    df = spark.range(20_000).selectExpr("id AS entity_id", "if(id % 2 = 0, 'train', 'val') AS fold", "id AS a", "1.0D AS t", "1.0D AS w").repartition(8)
+    want = [r["a"] for r in df.orderBy(F.xxhash64("entity_id")).limit(500).collect()]
+    sent = []
+    table = type(df).toArrow
+    type(df).toArrow = lambda self: sent.append(self.count()) or table(self)
+    try:
+        got = networks.sampled(df, ["a"], "t", "w", max_rows=500)
+    finally:
+        type(df).toArrow = table
+    assert got["a"].tolist() == want and 500 <= sent[0] < 600
+    assert len(networks.sampled(df, ["a"], "t", "w")) == 20_000 and not len(networks.sampled(df.filter("a < 0"), ["a"], "t", "w"))
